@@ -1,0 +1 @@
+"""The engine this library answers to has no streaming operator, so none is invented here."""
