@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import groups, representatives, set_join
+from . import groups, mixing, packing, representatives, set_join, tokens, varied_subset
+
+#: How many molecules the varied subset asks for.
+SUBSET_SIZE = 500
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,12 +44,41 @@ def p6_similar_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return set_join.similar_pairs(table(spark, folder, "fragment_membership"), "mol_id", set_join.fragment_token(F.col("fragment")))
 
 
+def p5_varied_subset(spark: SparkSession, folder: str) -> DataFrame:
+    """SUBSET_SIZE hits of good score that cover the variety of structures and cores."""
+    return varied_subset.varied_subset(table(spark, folder, "hits"), SUBSET_SIZE)
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, or of each piece of one, under every budget."""
+    return packing.pack(tokens.token_lengths(table(spark, folder, "documents")), table(spark, folder, "pack_budgets"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, folder), table(spark, folder, "pack_budgets"))
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts in the order and number in which they enter the mixture."""
+    return mixing.mix(tokens.token_lengths(table(spark, folder, "documents"), keep=("source",)), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.share_report(p8_mixture(spark, folder), table(spark, folder, "mix_targets"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_merged_records": p1_merged_records,
     "p1_top_records": p1_top_records,
     "p4_found": p4_found,
+    "p5_varied_subset": p5_varied_subset,
     "p6_found": p6_found,
     "p6_similar_pairs": p6_similar_pairs,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
 }
 ORACLE_SQL: dict[str, str] = {}
