@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import groups, mixing, packing, representatives, set_join, tokens, varied_subset
+from . import groups, mixing, packing, personal, representatives, set_join, tokens, varied_subset
 
 #: How many molecules the varied subset asks for.
 SUBSET_SIZE = 500
@@ -68,6 +68,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.share_report(p8_mixture(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal items of every document: (doc_id, pii_type, pii_text)."""
+    return personal.personal_items(table(spark, folder, "documents"))
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with placeholders in place of personal items."""
+    return personal.redacted_texts(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_merged_records": p1_merged_records,
@@ -80,5 +90,7 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 ORACLE_SQL: dict[str, str] = {}
