@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packed
+from . import cliffs, packed, preparation
 
-MODULES = (packed,)
+MODULES = (packed, preparation, cliffs)
 
 
 def queries() -> dict:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .store import Scratch
+
 #: A key is hot when it has more than one in HOT_KEYS of all rows, so there are at most HOT_KEYS hot keys.
 HOT_KEYS = 1000
 #: Below this many rows a key fits into any task, whatever its share.
@@ -74,3 +76,50 @@ def running_sum(df: DataFrame, by: Sequence[str], order: str, tie: Sequence[str]
     cond = [ranked[k].eqNullSafe(offsets[k]) for k in keys]
     joined = ranked.join(offsets, cond, "inner")
     return joined.select(*[ranked[c] for c in df.columns], (F.col("__within") + F.col("__before")).cast("long").alias(name))
+
+
+def ordered_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """Sorted ranks and running sums without gathering a group, or the whole table, in one task.
+
+    Rows are range-partitioned on ``by`` and ``order`` and written once; each partition numbers and
+    sums its own rows of a group, and one row per (group, partition) carries what came before. ``order``
+    must tell all rows of a group apart. Adds ``rn`` (from 1) and, for each ``{name: column}`` of
+    ``sums``, the sum up to and including the row.
+    """
+    scratch = Scratch(df.sparkSession, "ordered")
+    keys = [F.col(c) for c in by]
+    ranged = scratch.save(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    own = W.partitionBy(*by, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = totals.select(*by, "__part", zero("__n").alias("__b"), *[zero(f"__t_{n}").alias(f"__b_{n}") for n in sums])
+    local = ranged.withColumn("__rn", F.count("*").over(own))
+    for name, column in sums.items():
+        local = local.withColumn(f"__s_{name}", F.sum(column).over(own))
+    joined = local.join(offsets, [local[k].eqNullSafe(offsets[k]) for k in [*by, "__part"]], "inner")
+    return joined.select(*[local[c] for c in df.columns], (F.col("__rn") + F.col("__b")).cast("long").alias("rn"), *[(F.col(f"__s_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums])
+
+
+def exact_percentile(df: DataFrame, column: str, q: float) -> float | None:
+    """The linearly interpolated percentile of the non-null values, exact at any size.
+
+    Approximate quantiles bracket the answer; the rows below the bracket are counted and only the
+    two rows in question are sorted out of it. None for a table without values.
+    """
+    values = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).cast("double").alias("v"))
+    n = values.count()
+    if not n:
+        return None
+    at = (n - 1) * q
+    low_rank = int(at)
+    slack = 0.002
+    lo, hi = values.select(F.percentile_approx("v", F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), F.lit(10_000)).alias("p")).first().p
+    edge = values.agg(F.count(F.when(F.col("v") < lo, 1)).alias("below"), F.count(F.when(F.col("v") <= hi, 1)).alias("upto"), F.min(F.when(F.col("v") > hi, F.col("v"))).alias("next")).first()
+    assert edge.below <= low_rank, "the bracket starts above the rank"
+    inside = values.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").count()
+    ranked = ordered_running(inside, [], [F.col("v")], {"c": "count"}).select("v", (F.col("c") + edge.below).alias("upto"))
+    pick = ranked.agg(F.min(F.when(F.col("upto") > low_rank, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > low_rank + 1, F.col("v"))).alias("b")).first()
+    a = pick.a if pick.a is not None else edge.next
+    b = a if low_rank + 1 >= n else (pick.b if pick.b is not None else edge.next)
+    return a + (b - a) * (at - low_rank)
