@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cliffs, packed, preparation
+from . import cliffs, fragments, packed, preparation
 
-MODULES = (packed, preparation, cliffs)
+MODULES = (packed, preparation, cliffs, fragments)
 
 
 def queries() -> dict:

@@ -113,7 +113,7 @@ def exact_percentile(df: DataFrame, column: str, q: float) -> float | None:
         return None
     at = (n - 1) * q
     low_rank = int(at)
-    slack = 0.002
+    slack = max(0.002, 2.0 / n)
     lo, hi = values.select(F.percentile_approx("v", F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), F.lit(10_000)).alias("p")).first().p
     edge = values.agg(F.count(F.when(F.col("v") < lo, 1)).alias("below"), F.count(F.when(F.col("v") <= hi, 1)).alias("upto"), F.min(F.when(F.col("v") > hi, F.col("v"))).alias("next")).first()
     assert edge.below <= low_rank, "the bracket starts above the rank"
