@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cliffs, fragments, packed, preparation
+from . import cliffs, fragments, metrics, packed, preparation
 
-MODULES = (packed, preparation, cliffs, fragments)
+MODULES = (packed, preparation, cliffs, fragments, metrics)
 
 
 def queries() -> dict:
