@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cliffs, fragments, metrics, packed, preparation
+from . import candidates, cliffs, fragments, metrics, packed, preparation
 
-MODULES = (packed, preparation, cliffs, fragments, metrics)
+MODULES = (packed, preparation, cliffs, fragments, metrics, candidates)
 
 
 def queries() -> dict:
