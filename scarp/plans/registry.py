@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import candidates, cliffs, fragments, metrics, packed, preparation
+from . import candidates, cliffs, fragments, metrics, modelling, packed, preparation
 
-MODULES = (packed, preparation, cliffs, fragments, metrics, candidates)
+MODULES = (packed, preparation, cliffs, fragments, metrics, candidates, modelling)
 
 
 def queries() -> dict:
