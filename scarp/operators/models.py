@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, HashingTF, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..skew import exact_percentile, ordered_running
+from ..skew import exact_percentile, lookup_join, ordered_running
 from ..store import Scratch
 from . import metrics
 
@@ -30,6 +32,21 @@ def hashed(sets: DataFrame, bits: int = BITS) -> DataFrame:
     return HashingTF(inputCol="toks", outputCol="features", numFeatures=bits, binary=True).transform(sets)
 
 
+def token_index(sets: DataFrame) -> DataFrame:
+    """(token, at): every distinct token of ``toks`` and its own position from 0, in token order."""
+    tokens = sets.select(F.explode("toks").alias("token")).distinct()
+    return Scratch(sets.sparkSession, "index").save(ordered_running(tokens, [], [F.col("token")], {}).select("token", (F.col("rn") - 1).alias("at")), "index")
+
+
+def indexed(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds ``features``: presence of the tokens ``toks`` at their positions in ``index``; tokens outside of it do not count."""
+    size = max(1, index.count())
+    vector = F.udf(lambda at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())
+    uses = Scratch(sets.sparkSession, "uses").save(sets.select("key", F.explode_outer("toks").alias("token")), "uses")
+    placed = lookup_join(uses, index, "token").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("__at"))
+    return sets.join(placed, "key").withColumn("features", vector("__at")).drop("__at")
+
+
 def _estimator(kind: str, seed: int):
     common = {"labelCol": "y", "weightCol": "weight"}
     if kind == "logreg":
@@ -118,17 +135,21 @@ def scrambled(rows: DataFrame, kind: str, rounds: int = 5) -> DataFrame:
     return told.select("round", "key", "y", "p") if told is not None else _nothing(rows, "round int")
 
 
-def token_importance(model, sets: DataFrame, bits: int = BITS) -> DataFrame:
+def token_importance(model, sets: DataFrame, bits: int = BITS, index: DataFrame | None = None) -> DataFrame:
     """(token, coefficient, importance) of a linear model: the mean of |w (x - mean x)|, in closed form for presence.
 
-    Tokens that share a position share its coefficient.
+    With the ``index`` that the features were made with each token has its own coefficient; without one,
+    tokens that share a position of the hash share its coefficient.
     """
     total = sets.count()
     tokens = sets.select(F.explode("toks").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    placed = hashed(tokens.withColumn("toks", F.array("token")), bits).select("token", "n", (F.array_position(vector_to_array("features"), 1.0) - 1).alias("at"))
+    if index is None:
+        placed = hashed(tokens.withColumn("toks", F.array("token")), bits).select("token", "n", (F.array_position(vector_to_array("features"), 1.0) - 1).alias("at"))
+    else:
+        placed = tokens.join(index, "token")
     weights = sets.sparkSession.createDataFrame([(i, float(w)) for i, w in enumerate(model.coefficients)], "at long, coefficient double")
     share = F.col("n") / F.lit(max(1, total))
-    return placed.join(F.broadcast(weights), "at").select("token", "coefficient", (F.abs("coefficient") * 2 * share * (1 - share)).alias("importance"))  # `bits` rows
+    return placed.join(F.broadcast(weights) if index is None else weights, "at").select("token", "coefficient", (F.abs("coefficient") * 2 * share * (1 - share)).alias("importance"))  # broadcast: `bits` rows
 
 
 def descriptors(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -178,3 +199,72 @@ def projected(rows: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
     signs = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in loadings.T]
     pc = vector_to_array("pc")
     return model.transform(centred).select("key", *[(pc[i] * s).alias(f"pc{i + 1}") for i, s in enumerate(signs)]), model.explainedVariance.toArray().tolist()
+
+
+def _sparse(v) -> tuple[int, list[int], list[float]]:
+    at = v.toArray().nonzero()[0] if not hasattr(v, "indices") else v.indices
+    return v.size, [int(i) for i in at], [float(v[int(i)]) for i in at]
+
+
+def projected_wide(rows: DataFrame, k: int = 2, block: int = 8, tolerance: float = 1e-9, most: int = 80) -> tuple[DataFrame, list[float]]:
+    """As ``projected``, for many sparse features: block Lanczos steps, each one pass over the rows.
+
+    Only ``block`` columns of features travel a pass, never the matrix of covariances; passes go on until the
+    residuals of the ``k`` components are below ``tolerance`` of the first, and more than ``most`` raise an error.
+    """
+    spark = rows.sparkSession
+    split = F.udf(_sparse, "size int, indices array<int>, values array<double>")
+    flat = Scratch(spark, "wide").save(rows.select("key", split("features").alias("f")).select("key", "f.*"), "flat")
+    first = flat.agg(F.max("size").alias("d"), F.count("*").alias("n")).first()
+    if not first.n:
+        return rows.select("key", *[F.lit(None).cast("double").alias(f"pc{i + 1}") for i in range(k)]), []
+    d, n = first.d, first.n
+    columns = flat.select(F.explode(F.arrays_zip("indices", "values")).alias("x")).groupBy("x.indices").agg(F.sum("x.values").alias("s"), F.sum(F.col("x.values") * F.col("x.values")).alias("q")).collect()  # a row per feature, like a model
+    mean = np.zeros(d)
+    mean[[r.indices for r in columns]] = [r.s / n for r in columns]
+    total = sum(r.q for r in columns) - n * (mean @ mean)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(v)
+
+        def part(found):
+            out, seen = np.zeros((d, v.shape[1])), False
+            for r in found:
+                at, x = np.asarray(r.indices, int), np.asarray(r["values"])
+                out[at] += np.outer(x, x @ shared.value[at])
+                seen = True
+            return [out] if seen else []
+
+        whole = flat.select("indices", "values").rdd.mapPartitions(part).treeReduce(np.add)
+        return whole - n * np.outer(mean, mean @ v)
+
+    v = np.linalg.qr(np.random.default_rng(0).normal(size=(d, min(block, d))))[0]
+    q, cq = np.empty((d, 0)), np.empty((d, 0))
+    for _ in range(most):
+        cv = times(v)
+        q, cq = np.hstack([q, v]), np.hstack([cq, cv])
+        t = q.T @ cq
+        w, u = np.linalg.eigh((t + t.T) / 2)
+        w, u = w[::-1][:k], u[:, ::-1][:, :k]
+        pc = q @ u
+        if len(w) == k and np.linalg.norm(cq @ u - pc * w, axis=0).max() <= tolerance * max(w[0], 1e-300) or q.shape[1] >= d:
+            break
+        rest = cv - q @ (q.T @ cv)
+        rest -= q @ (q.T @ rest)
+        left, sizes, _ = np.linalg.svd(rest, full_matrices=False)
+        v = left[:, sizes > 1e-10 * max(1.0, w[0])][:, : d - q.shape[1]]
+        v -= q @ (q.T @ v)
+        if not v.shape[1]:
+            break
+        v = np.linalg.qr(v)[0]
+    else:
+        raise ValueError(f"the components are not settled after {most} passes")
+    pc = pc * np.where(pc[np.abs(pc).argmax(axis=0), np.arange(pc.shape[1])] >= 0, 1.0, -1.0)
+    loads = spark.sparkContext.broadcast(pc)
+    centre = mean @ pc
+
+    def place(indices, values):
+        return [float(x) for x in np.asarray(values) @ loads.value[np.asarray(indices, int)] - centre]
+
+    told = flat.select("key", F.udf(place, "array<double>")("indices", "values").alias("pc"))
+    return told.select("key", *[F.get("pc", F.lit(i)).alias(f"pc{i + 1}") for i in range(k)]), [float(x / total) if total else 0.0 for x in w]

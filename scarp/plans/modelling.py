@@ -14,8 +14,6 @@ from ..tables import table
 from .cliffs import _BASE, molecule_sets, potency
 
 DESCRIPTORS = ("mol_wt", "alogp", "max_phase")
-#: Positions of the folded sets that are projected.
-PROJECTED_BITS = 256
 
 
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,29 +25,36 @@ def _labelled_sets(spark: SparkSession, folder: str) -> DataFrame:
     return Scratch(spark, "labelled").save(joined, "sets")
 
 
+def _labelled_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Each distinct fragment of the labelled molecules has its own position."""
+    sets = _labelled_sets(spark, folder)
+    return Scratch(spark, "features").save(models.indexed(sets, models.token_index(sets)).select("key", "y", "features"), "features")
+
+
 def model_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     """Test metrics of every kind of model on one stratified split."""
-    rows = splits.stratified(models.hashed(_labelled_sets(spark, folder)).select("key", "y", "features"), "key", "y", 0.2)
+    rows = splits.stratified(_labelled_features(spark, folder), "key", "y", 0.2)
     told = Scratch(spark, "told").save(models.evaluate(rows), "told")
     return M.classification(told, ["model"]).join(M.ranking(told, ["model"]), "model").select("model", *[F.round(c, 6).alias(c) for c in ("auroc", "average_precision", "f1", "mcc", "brier")])
 
 
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    told = models.cross_validated(models.hashed(_labelled_sets(spark, folder)), "logreg")
+    told = models.cross_validated(_labelled_features(spark, folder), "logreg")
     return M.ranking(told, ["fold"]).select("fold", F.round("auroc", 6).alias("auroc"), F.round("average_precision", 6).alias("average_precision"))
 
 
 def label_scramble(spark: SparkSession, folder: str) -> DataFrame:
-    told = models.scrambled(models.hashed(_labelled_sets(spark, folder)), "logreg", 3)
+    told = models.scrambled(_labelled_features(spark, folder), "logreg", 3)
     return M.ranking(told, ["round"]).select("round", F.round("auroc", 6).alias("auroc"))
 
 
 def fragment_importance(spark: SparkSession, folder: str) -> DataFrame:
     sets = _labelled_sets(spark, folder)
-    model = models.fit("logreg", models.hashed(sets))
+    index = models.token_index(sets)
+    model = models.fit("logreg", models.indexed(sets, index))
     if model is None:
         return spark.createDataFrame([], "fragment string, coefficient double, importance double")
-    return models.token_importance(model, sets).select(F.col("token").alias("fragment"), F.round("coefficient", 6).alias("coefficient"), F.round("importance", 6).alias("importance"))
+    return models.token_importance(model, sets, index=index).select(F.col("token").alias("fragment"), F.round("coefficient", 6).alias("coefficient"), F.round("importance", 6).alias("importance"))
 
 
 def descriptor_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,8 +70,9 @@ def descriptor_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pca_projection(spark: SparkSession, folder: str) -> DataFrame:
-    """Two principal components of every molecule's folded set."""
-    out, _ = models.projected(models.hashed(molecule_sets(spark, folder), PROJECTED_BITS).select("key", "features"))
+    """Two principal components of every molecule's set; each fragment has its own position."""
+    sets = Scratch(spark, "projected").save(molecule_sets(spark, folder).select("key", "toks"), "sets")
+    out, _ = models.projected_wide(models.indexed(sets, models.token_index(sets)).select("key", "features"))
     return out.select(F.col("key").alias("mol_id"), F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 
