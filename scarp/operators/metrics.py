@@ -108,7 +108,7 @@ def threshold_grid(rows: DataFrame, by: Sequence[str], metric: str = "mcc") -> D
     return best.select(*by, (F.col("b.t") / 100).alias("threshold"), F.col("b.value").alias(metric))
 
 
-def bootstrap_mean(values: DataFrame, by: Sequence[str], value: str, key: str, resamples: int = 200) -> DataFrame:
+def bootstrap_mean(values: DataFrame, by: Sequence[str], value: str, key: str, resamples: int = 2000) -> DataFrame:
     """(by, mean, sd, ci_lower, ci_upper): a Poisson bootstrap of the mean. Each row weighs in a resample as often as a
     hash of (key, resample) draws, so rows need no order and partial sums do the work; sd of one row is 0."""
     clean = values.where(F.col(value).isNotNull() & ~F.isnan(value))

@@ -54,7 +54,7 @@ def _estimator(kind: str, seed: int):
     if kind == "linear_svm":
         return LinearSVC(maxIter=50, regParam=0.01, **common)
     if kind in ("forest", "balanced_forest"):
-        return RandomForestClassifier(numTrees=30, maxDepth=8, seed=seed, **common)
+        return RandomForestClassifier(numTrees=300, maxDepth=8, seed=seed, **common)
     if kind == "boosted":
         return GBTClassifier(maxIter=20, maxDepth=3, seed=seed, **common)
     raise ValueError(f"unknown kind of model: {kind}")
@@ -102,14 +102,15 @@ def folds(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return ordered_running(drawn, ["y"], [F.col("__h"), F.col("key")], {}).select(*rows.columns, (F.col("rn") % k).cast("int").alias("fold"))
 
 
-def cross_validated(rows: DataFrame, kind: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """(fold, key, y, p): every row scored by the model that did not see its fold."""
-    cut = Scratch(rows.sparkSession, "folds").save(folds(rows.select("key", "y", "features"), k, seed), "folds")
+def cross_validated(rows: DataFrame, kind: str, k: int = 5, seed: int = 0, repeats: int = 1) -> DataFrame:
+    """(fold, key, y, p): every row scored by the model that did not see its fold; fold ``r * k + i`` is the i-th of repeat r."""
     parts = []
-    for fold in range(k):
-        model = fit(kind, cut.where(F.col("fold") != fold), seed)
-        if model:
-            parts.append(probability(model, cut.where(F.col("fold") == fold)).withColumn("fold", F.lit(fold)))
+    for turn in range(repeats):
+        cut = Scratch(rows.sparkSession, "folds").save(folds(rows.select("key", "y", "features"), k, seed + turn), "folds")
+        for fold in range(k):
+            model = fit(kind, cut.where(F.col("fold") != fold), seed + turn)
+            if model:
+                parts.append(probability(model, cut.where(F.col("fold") == fold)).withColumn("fold", F.lit(turn * k + fold)))
     told = _union(parts)
     return told.select("fold", "key", "y", "p") if told is not None else _nothing(rows, "fold int")
 

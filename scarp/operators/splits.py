@@ -30,15 +30,16 @@ def cliffs_in_train(rows: DataFrame, key: str, label: str, in_cliff: str, share:
     return free.unionByName(rows.where(in_cliff).withColumn("part", F.lit("train")))
 
 
-def grouped(rows: DataFrame, key: str, label: str, group: str, share: float, trials: int = 256, tolerance: float = 0.02) -> DataFrame:
+def grouped(rows: DataFrame, key: str, label: str, group: str, share: float, trials: int = 256, tolerance: float = 0.02, seed: int = 0) -> DataFrame:
     """No group is in both parts. Of ``trials`` draws of groups, the first whose test labels' mean is within
-    ``tolerance`` of the whole, or else the closest, is taken; ``share`` is a share of groups."""
+    ``tolerance`` of the whole, or else the closest, is taken; ``share`` is a share of groups. Each
+    ``seed`` has draws of its own."""
     sums = rows.groupBy(group).agg(F.sum(label).alias("y"), F.count("*").alias("n"))
-    drawn = sums.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    drawn = sums.withColumn("trial", F.explode(F.sequence(F.lit(seed * trials), F.lit((seed + 1) * trials - 1))))
     in_test = lambda value: F.pmod(value, F.lit(1_000_000)) < int(share * 1e6)
     drawn = drawn.where(in_test(F.xxhash64(F.col(group), "trial")))
     base = rows.agg(F.avg(label).alias("m")).first().m
     means = drawn.groupBy("trial").agg((F.sum("y") / F.sum("n")).alias("m")).withColumn("off", F.abs(F.col("m") - F.lit(base)))
     best = means.orderBy(F.when(F.col("off") <= tolerance, 0.0).otherwise(F.col("off")), "trial").first()  # one row per trial
-    trial = best.trial if best else 0
+    trial = best.trial if best else seed * trials
     return rows.withColumn("part", F.when(in_test(F.xxhash64(F.col(group), F.lit(trial))), "test").otherwise("train"))

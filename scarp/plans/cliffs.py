@@ -70,10 +70,15 @@ def cliff_train_max(spark: SparkSession, folder: str) -> DataFrame:
     return splits.cliffs_in_train(flagged, "key", "y", "in_cliff", 0.2).select(F.col("key").alias("mol_id"), "in_cliff", "part")
 
 
-def group_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Train and test parts that share no component, of the best of 64 draws."""
+def labelled_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, p, y, group_id): labelled molecules and their components; a molecule without one is its own."""
     groups = cliff_components(spark, folder).withColumnRenamed("mol_id", "key")
-    return splits.grouped(_labelled(spark, folder).join(groups, "key", "left").withColumn("group_id", F.coalesce("group_id", "key")), "key", "y", "group_id", 0.2, trials=64).select(F.col("key").alias("mol_id"), "group_id", "part")
+    return _labelled(spark, folder).join(groups, "key", "left").withColumn("group_id", F.coalesce("group_id", "key"))
+
+
+def group_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Train and test parts that share no component, of the best of 256 draws."""
+    return splits.grouped(labelled_groups(spark, folder), "key", "y", "group_id", 0.2).select(F.col("key").alias("mol_id"), "group_id", "part")
 
 
 QUERIES = {f.__name__: f for f in (activity_cliffs, sali_landscape, similarity_neighbors, cliff_nodes, cliff_components, stratified_split, cliff_train_max, group_split)}
