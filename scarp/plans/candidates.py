@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as C
 from ..operators.packed_fields import explode_packed
+from ..store import Scratch
 from ..tables import table
 from .cliffs import plain_fragment
 
 
+#: Fixed value: most structures that leave the Pareto front, as the reference's k_front.
+FRONT = 75000
+
+
 def _hits(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "hits")
 
@@ -60,10 +65,20 @@ def scaffold_balance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def diverse_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Front, then the best by score, then a diverse few: the selection funnel."""
-    best = C.top_k(_hits(spark, folder).select("hit_id", "score", "smiles").dropDuplicates(["hit_id"]), "score", "hit_id", 500)
+    """Pareto front of the distinct structures, then the best by score, then a diverse few: the selection funnel.
+
+    As in the reference, no front is taken if there are at most FRONT structures, and at most FRONT of it by score.
+    """
+    hits = _hits(spark, folder).select("hit_id", "score", "smiles", "qsar", "sa", "qed").dropDuplicates(["hit_id"])
+    structure = F.coalesce(F.col("smiles"), F.concat(F.lit("#"), F.col("hit_id").cast("string")))
+    score = F.coalesce(F.nanvl("score", F.lit(None).cast("double")), F.lit(float("-inf")))
+    firsts = hits.groupBy(structure.alias("structure")).agg(F.max_by(F.struct("hit_id", "score", "qsar", "sa", "qed"), F.struct(score, -F.col("hit_id"))).alias("h"))
+    kept = Scratch(spark, "funnel").save(firsts.select("h.*"), "kept")
+    if kept.count() > FRONT:
+        kept = C.top_k(C.pareto_front(kept, ["qsar", "sa", "qed"]), "score", "hit_id", FRONT).drop("rank")
+    best = C.top_k(kept, "score", "hit_id", 500)
     items = explode_packed(_hits(spark, folder), "hit_id", "fragments", "f").groupBy(F.col("row_id").alias("hit_id")).agg(F.collect_set("item").alias("toks"))
-    return C.greedy_diverse(best.join(items, "hit_id"), "hit_id", "toks", 50)
+    return C.greedy_diverse(best.join(items, "hit_id", "left").withColumn("toks", F.coalesce("toks", F.array().cast("array<string>"))), "hit_id", "toks", 50)
 
 
 def core_usage(spark: SparkSession, folder: str) -> DataFrame:
