@@ -1,57 +1,64 @@
-"""Sphere-exclusion clusters of a similarity graph, equal to the sequential greedy ones."""
+"""Sphere-exclusion clusters of a similarity graph, equal to the sequential greedy ones, and votes of neighbours."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..skew import lookup_join
 from ..store import Scratch
+from .similarity import Similar, against_all
 
 
-def butina(pairs: DataFrame) -> DataFrame:
-    """(key, centroid): Taylor-Butina groups of the keys (bigint) that occur in ``pairs`` (a, b).
+def butina(found: Similar) -> DataFrame:
+    """(key, centroid): Taylor-Butina groups of the keys (bigint) that have a neighbour.
 
     The greedy rule takes keys by number of neighbours (ties: the smaller key) and gives each its
-    neighbours that are still free. A key is a centroid exactly if no free neighbour comes before it,
-    so every round finds all such keys at once, and each other key belongs to the first of the
-    centroids beside it. Self pairs and repeats change nothing; an empty table gives no rows.
+    neighbours that are still free. Members of a class share all neighbours and are neighbours of each other, so the
+    class goes as one. A class is a centroid exactly if no free neighbour comes before it, so every round finds all such
+    at once, and each other belongs to the first of the centroids beside it. An empty table gives no rows.
     The rounds are as many as the longest chain of falling neighbour counts, not as the clusters.
     """
-    scratch = Scratch(pairs.sparkSession, "butina")
-    both = pairs.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("o")), F.struct(F.col("b").alias("k"), F.col("a").alias("o")))).alias("e")).select("e.*").distinct()
-    both = scratch.save(both, "both")
-    order = both.groupBy("k").agg(F.count("*").alias("n")).select("k", F.struct("n", (-F.col("k")).alias("x")).alias("pk"))
-    order = scratch.save(order, "order")
-    edges = lookup_join(both, order, "k", "inner")
-    edges = scratch.save(lookup_join(edges, order.toDF("o", "po"), "o", "inner").select("k", "pk", "o", "po"), "edges")
-    live, chosen = edges, []
-    while not live.isEmpty():
+    scratch = Scratch(found.pairs.sparkSession, "butina")
+    sizes = found.classes.toDF("o", "copies")
+    both, met = scratch.save_measured(found.pairs.where("x <> y").select(F.inline(F.array(F.struct(F.col("x").alias("k"), F.col("y").alias("o")), F.struct(F.col("y").alias("k"), F.col("x").alias("o"))))).distinct(), "both")
+    beside = lookup_join(both, sizes, "o", "inner", rows=met["n"]).groupBy("k").agg(F.sum("copies").alias("n"))
+    counted = beside.join(sizes.toDF("k", "copies"), "k").select("k", F.struct((F.col("n") + F.col("copies") - 1).alias("n"), (-F.col("k")).alias("x")).alias("pk"))
+    order = scratch.save(counted, "order")
+    edges = lookup_join(lookup_join(both, order, "k", "inner", rows=met["n"]), order.toDF("o", "po"), "o", "inner", rows=met["n"])
+    edges = scratch.save(edges.select("k", "pk", "o", "po"), "edges")
+    live, left, chosen = edges, met["n"], []
+    while left:
         centres = scratch.save(live.groupBy("k").agg(F.max("pk").alias("pk"), F.max("po").alias("best")).where("pk > best").select("k"), "centres")
         chosen.append(centres)
         covered = live.join(centres, "k", "left_semi").select(F.col("o").alias("k")).distinct()
         gone = scratch.save(centres.unionByName(covered), "gone")
-        live = scratch.save(live.join(gone, "k", "left_anti").join(gone.toDF("o"), "o", "left_anti").select("k", "pk", "o", "po"), "live")
+        rest, seen = scratch.save_measured(live.join(gone, "k", "left_anti").join(gone.toDF("o"), "o", "left_anti").select("k", "pk", "o", "po"), "live")
+        scratch.forget(gone, *([live] if live is not edges else []))
+        live, left = rest, seen["n"]
+    alone = found.classes.where("copies > 1").select(F.col("rep").alias("k")).join(order, "k", "left_anti")
     if not chosen:
-        return order.select(F.col("k").alias("key"), F.col("k").alias("centroid"))
-    all_centres = chosen[0]
-    for more in chosen[1:]:
-        all_centres = all_centres.unionByName(more)
-    joined = edges.join(all_centres.toDF("o"), "o", "left_semi").groupBy("k").agg(F.max_by("o", "po").alias("first"))
-    # A key without a centroid beside it is one itself.
-    return order.select("k").join(joined, "k", "left").select(F.col("k").alias("key"), F.coalesce("first", "k").alias("centroid"))
+        centroids = alone.select(F.col("k").alias("rep"), F.col("k").alias("centroid"))
+    else:
+        all_centres = chosen[0]
+        for more in chosen[1:]:
+            all_centres = all_centres.unionByName(more)
+        joined = edges.join(all_centres.toDF("o"), "o", "left_semi").groupBy("k").agg(F.max_by("o", "po").alias("first"))
+        # A key without a centroid beside it is one itself.
+        named = order.select("k").unionByName(alone).join(joined, "k", "left").select(F.col("k").alias("rep"), F.coalesce("first", "k").alias("centroid"))
+        centroids = named
+    return lookup_join(found.members.select("rep", "key"), centroids, "rep", "inner").select("key", "centroid")
 
 
-def nearest_votes(pairs: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
-    """(key, y, p, n_votes): the mean label of the at most ``k`` most similar labelled neighbours (ties: smaller key).
+def nearest_votes(queries: DataFrame, labelled: DataFrame, k: int = 15) -> DataFrame:
+    """(key, y, p, n_votes): the mean label of the ``k`` most similar labelled rows (ties: smaller key), whatever their similarity.
 
-    ``pairs``: a, b, sim; ``labels``: key, y (null: no label). Keys without a labelled neighbour give no row.
+    ``queries``: key, y (may be null), toks; ``labelled``: key, y, toks. A query is no neighbour of itself. Exact: each
+    query is compared with all rows, and of every block only its best ``k`` travel on (the rank filter is cut in the tasks).
     """
-    from pyspark.sql import Window as W
-
-    known = labels.where("y is not null").select("key", "y").dropDuplicates(["key"])
-    both = pairs.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("b").alias("o")), F.struct(F.col("b").alias("key"), F.col("a").alias("o")))).alias("e"), "sim").select("e.*", "sim")
-    told = lookup_join(both, known.toDF("o", "vote"), "o", "inner")
-    rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("sim").desc(), "o"))  # rank <= k is cut in the map tasks
-    votes = told.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("key").agg(F.avg("vote").alias("p"), F.count("*").alias("n_votes"))
-    return votes.join(known, "key").select("key", "y", "p", "n_votes")
+    known = labelled.where("y is not null").select("key", F.col("y").alias("vote"), "toks")
+    met = against_all(queries.select(F.col("key").alias("q"), "y", F.col("toks").alias("qtoks")), known)
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.col("sim").desc(), "key"))
+    votes = met.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("q").agg(F.first("y").alias("y"), F.avg("vote").alias("p"), F.count("*").alias("n_votes"))
+    return votes.select(F.col("q").alias("key"), "y", "p", "n_votes")

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, HashingTF, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,12 +169,10 @@ def descriptors(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 def uncorrelated(rows: DataFrame, columns: Sequence[str], limit: float = 0.95) -> list[str]:
     """Columns that no earlier column is correlated with beyond ``limit``; earlier ones count whether kept or not."""
-    pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
-    if not pairs:
+    if len(columns) < 2:
         return list(columns)
-    r = rows.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-    twins = {b for i, (a, b) in enumerate(pairs) if r[f"r{i}"] is not None and abs(r[f"r{i}"]) > limit}
-    return [c for c in columns if c not in twins]
+    r = Correlation.corr(VectorAssembler(inputCols=list(columns), outputCol="all").transform(rows), "all").first()[0].toArray()
+    return [c for i, c in enumerate(columns) if not (np.nan_to_num(np.abs(r[i, :i])) > limit).any()]
 
 
 def permutation_importance(rows: DataFrame, columns: Sequence[str], kind: str = "logreg") -> DataFrame:

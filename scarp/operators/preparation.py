@@ -14,6 +14,29 @@ ACTIVE_NM, MAX_WEIGHT, MAX_LOGP = 10_000.0, 900.0, 8.0
 MICROMOLAR = ("um", "µm", "micromolar", "micromole", "micromoles", "micromol")
 
 
+def compound_id(written: Column) -> Column:
+    """``CHEMBL`` plus digits without leading zeros, however written; null if there is none."""
+    digits = F.regexp_extract(F.upper(written), r"^\s*CHEMBL[\s_:#-]*0*([1-9]\d*)\s*$", 1)
+    return F.when(digits != "", F.concat(F.lit("CHEMBL"), digits))
+
+
+def stripped(text: Column) -> Column:
+    """Text without the blanks and tabs around it; null if nothing is left."""
+    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def compound_key(identifier: Column, structure: Column) -> Column:
+    """What a record says of its compound: its identifier, else ``=`` and its structure; null if it says neither."""
+    return F.coalesce(compound_id(identifier), F.concat(F.lit("="), stripped(structure)))
+
+
+def both_keys(space: DataFrame, key: str, identifier: str, structure: str) -> DataFrame:
+    """(compound_key, key): the two keys that records may know a registered compound by; the smallest key if several share one."""
+    keys = F.array(compound_id(F.col(identifier)), F.concat(F.lit("="), stripped(F.col(structure))))
+    known = space.select(F.col(key).alias("key"), F.explode(keys).alias("compound_key")).where("compound_key is not null and key is not null")
+    return known.groupBy("compound_key").agg(F.min("key").alias("key"))
+
+
 def number(text: Column) -> Column:
     """A plain decimal number; null where the text is anything else."""
     plain = F.regexp_extract(text, r"^\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*$", 1)

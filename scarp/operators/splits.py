@@ -35,9 +35,9 @@ def grouped(rows: DataFrame, key: str, label: str, group: str, share: float, tri
     ``tolerance`` of the whole, or else the closest, is taken; ``share`` is a share of groups. Each
     ``seed`` has draws of its own."""
     sums = rows.groupBy(group).agg(F.sum(label).alias("y"), F.count("*").alias("n"))
-    drawn = sums.withColumn("trial", F.explode(F.sequence(F.lit(seed * trials), F.lit((seed + 1) * trials - 1))))
     in_test = lambda value: F.pmod(value, F.lit(1_000_000)) < int(share * 1e6)
-    drawn = drawn.where(in_test(F.xxhash64(F.col(group), "trial")))
+    turns = F.filter(F.sequence(F.lit(seed * trials), F.lit((seed + 1) * trials - 1)), lambda t: in_test(F.xxhash64(F.col(group), t)))
+    drawn = sums.select("y", "n", F.explode(turns).alias("trial"))
     base = rows.agg(F.avg(label).alias("m")).first().m
     means = drawn.groupBy("trial").agg((F.sum("y") / F.sum("n")).alias("m")).withColumn("off", F.abs(F.col("m") - F.lit(base)))
     best = means.orderBy(F.when(F.col("off") <= tolerance, 0.0).otherwise(F.col("off")), "trial").first()  # one row per trial

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import preparation as P
 from ..operators import similarity as S
 from ..operators import splits
+from ..store import Scratch
 from ..tables import table
+from .preparation import SQL_BOTH, SQL_KEY
 
 
 def plain_fragment(fragment: Column) -> Column:
@@ -16,45 +18,67 @@ def plain_fragment(fragment: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(fragment), r"\[(?:\d+\*|\*:\d+|\d+\*:\d+)\]", "[*]"), F.lit(""))
 
 
+def molecule_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return S.tokens(table(spark, folder, "fragment_membership"), "mol_id", plain_fragment(F.col("fragment")))
+
+
 def molecule_sets(spark: SparkSession, folder: str) -> DataFrame:
     return S.item_sets(table(spark, folder, "fragment_membership"), "mol_id", plain_fragment(F.col("fragment")))
 
 
 def potency(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, p): mean pIC50 of a molecule's records, found by structure."""
-    records = table(spark, folder, "removed_compounds").where("standard_value > 0 and not isnan(standard_value)").select("record_id", F.trim("canonical_smiles").alias("canonical_smiles"), "standard_value").distinct()
-    means = records.groupBy("canonical_smiles").agg(F.avg(P.pic50(F.col("standard_value"))).alias("p"))
-    return table(spark, folder, "chemical_space").select(F.col("mol_id").alias("key"), "canonical_smiles").join(means, "canonical_smiles").select("key", "p")
+    """(key, p): mean pIC50 of a molecule's records, found by identifier, however written, else by structure.
+
+    Records are summed up by what they say of their compound before they meet the registry, so no key is hot.
+    """
+    said = P.compound_key(F.col("chembl_id"), F.col("canonical_smiles")).alias("compound_key")
+    records = table(spark, folder, "removed_compounds").where("standard_value > 0 and not isnan(standard_value)").select("record_id", said, "standard_value").where("compound_key is not null").distinct()
+    sums = records.groupBy("compound_key").agg(F.sum(P.pic50(F.col("standard_value"))).alias("s"), F.count("*").alias("n"))
+    known = P.both_keys(table(spark, folder, "chemical_space"), "mol_id", "chembl_id", "canonical_smiles")
+    return sums.join(known, "compound_key").groupBy("key").agg((F.sum("s") / F.sum("n")).alias("p"))
+
 
+def _classes(spark: SparkSession, folder: str) -> S.Similar:
+    return S.similar_classes(molecule_tokens(spark, folder), S.CLIFF_SIMILARITY)
 
-def _cliffs(spark: SparkSession, folder: str) -> DataFrame:
-    return S.cliffs(molecule_sets(spark, folder), potency(spark, folder))
+
+def cliff_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return S.cliffs(molecule_tokens(spark, folder), potency(spark, folder))
 
 
 def activity_cliffs(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _cliffs(spark, folder)
+    pairs = cliff_pairs(spark, folder)
     return pairs.select(F.col("a").alias("mol_i"), F.col("b").alias("mol_j"), *[F.round(c, 6).alias(n) for c, n in (("sim", "sim"), ("delta", "delta_p"), ("sali", "sali"))])
 
 
 def sali_landscape(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs from a similarity of one half on, with their SALI."""
-    pairs = S.with_response(S.tanimoto_join(molecule_sets(spark, folder), 0.5), potency(spark, folder))
-    return pairs.select(F.col("a").alias("mol_i"), F.col("b").alias("mol_j"), *[F.round(c, 6).alias(c) for c in ("sim", "delta", "sali")])
+    """Every molecule whose mol_id is divisible by 20 against all molecules, however dissimilar, with SALI."""
+    rows = Scratch(spark, "landscape").save(molecule_sets(spark, folder).join(S.known_response(potency(spark, folder)), "key").select("key", "toks", "p"), "rows")
+    queries = rows.where("key % 20 = 0").toDF("q", "qtoks", "qp")
+    delta = F.abs(F.col("qp") - F.col("p"))
+    met = S.against_all(queries, rows)
+    return met.select(F.col("q").alias("mol_i"), F.col("key").alias("mol_j"), F.round("sim", 6).alias("sim"), F.round(delta, 6).alias("delta"), F.round(S.sali(F.col("sim"), delta), 6).alias("sali"))
 
 
 def similarity_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = S.tanimoto_join(molecule_sets(spark, folder), 0.8)
-    return pairs.select(F.explode(F.array("a", "b")).alias("mol_id")).groupBy("mol_id").agg(F.count("*").alias("n_neighbors"))
+    return S.neighbor_counts(_classes(spark, folder)).withColumnRenamed("key", "mol_id")
+
+
+def similarity_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every molecule with a fragment, its class of equal sets, the copies in it and its number of similar molecules."""
+    found = _classes(spark, folder)
+    counts = S.neighbor_counts(found)
+    return found.members.join(counts, "key", "left").select(F.col("key").alias("mol_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("n_neighbors", F.lit(0)).alias("n_links"))
 
 
 def cliff_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Every molecule with a potency, and whether it is an end of a cliff."""
-    marked = S.ends(_cliffs(spark, folder)).withColumn("hit", F.lit(1))
+    marked = S.ends(cliff_pairs(spark, folder)).withColumn("hit", F.lit(1))
     return potency(spark, folder).join(marked, "key", "left").select(F.col("key").alias("mol_id"), F.col("hit").isNotNull().alias("in_cliff"))
 
 
 def cliff_components(spark: SparkSession, folder: str) -> DataFrame:
-    return S.components(S.tanimoto_join(molecule_sets(spark, folder), 0.8)).select(F.col("key").alias("mol_id"), F.col("group_key").alias("group_id"))
+    return S.class_components(_classes(spark, folder)).select(F.col("key").alias("mol_id"), F.col("group_key").alias("group_id"))
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,22 +105,30 @@ def group_split(spark: SparkSession, folder: str) -> DataFrame:
     return splits.grouped(labelled_groups(spark, folder), "key", "y", "group_id", 0.2).select(F.col("key").alias("mol_id"), "group_id", "part")
 
 
-QUERIES = {f.__name__: f for f in (activity_cliffs, sali_landscape, similarity_neighbors, cliff_nodes, cliff_components, stratified_split, cliff_train_max, group_split)}
+QUERIES = {f.__name__: f for f in (activity_cliffs, sali_landscape, similarity_neighbors, similarity_classes, cliff_nodes, cliff_components, stratified_split, cliff_train_max, group_split)}
 
 _HASH = "(({k} * 7919 + 104729) % 1000003)"
-_BASE = r"""m AS (SELECT DISTINCT mol_id, nullif(regexp_replace(trim(fragment), '\[(?:\d+\*|\*:\d+|\d+\*:\d+)\]', '[*]', 'g'), '') AS tok FROM fragment_membership WHERE mol_id IS NOT NULL),
+_BASE = (
+    r"""m AS (SELECT DISTINCT mol_id, nullif(regexp_replace(trim(fragment), '\[(?:\d+\*|\*:\d+|\d+\*:\d+)\]', '[*]', 'g'), '') AS tok FROM fragment_membership WHERE mol_id IS NOT NULL),
   t AS (SELECT * FROM m WHERE tok IS NOT NULL), n AS (SELECT mol_id, count(*) AS n FROM t GROUP BY mol_id),
   o AS (SELECT a.mol_id AS a, b.mol_id AS b, count(*) AS o FROM t a JOIN t b ON a.tok = b.tok AND a.mol_id < b.mol_id GROUP BY 1, 2),
   s AS (SELECT a, b, o / (x.n + y.n - o) AS sim FROM o JOIN n x ON x.mol_id = a JOIN n y ON y.mol_id = b),
-  r AS (SELECT DISTINCT record_id, trim(canonical_smiles) AS canonical_smiles, standard_value FROM removed_compounds WHERE standard_value > 0 AND NOT isnan(standard_value)),
-  p AS (SELECT c.mol_id, avg(-log10(r.standard_value * 1e-9)) AS p FROM chemical_space c JOIN r ON r.canonical_smiles = c.canonical_smiles GROUP BY 1),
+  """
+    + f"""r AS (SELECT DISTINCT record_id, {SQL_KEY} AS compound_key, standard_value FROM removed_compounds WHERE standard_value > 0 AND NOT isnan(standard_value)),
+  p AS (SELECT mol_id, avg(-log10(standard_value * 1e-9)) AS p FROM {SQL_BOTH} JOIN r USING (compound_key) GROUP BY 1),
   d AS (SELECT a, b, sim, abs(x.p - y.p) AS delta FROM s JOIN p x ON x.mol_id = a JOIN p y ON y.mol_id = b),
   k AS (SELECT * FROM d WHERE sim >= 0.8 - 1e-12 AND delta >= 1)"""
+)
 _ENDS = "(SELECT a AS mol_id FROM k UNION SELECT b FROM k)"
 _SPLIT = "CASE WHEN row_number() OVER (PARTITION BY y ORDER BY {h}, mol_id) <= floor(count(*) OVER (PARTITION BY y) * 0.2) THEN 'test' ELSE 'train' END"
 ORACLE_SQL = {
     "activity_cliffs": f"WITH {_BASE} SELECT a AS mol_i, b AS mol_j, round(sim, 6) AS sim, round(delta, 6) AS delta_p, round(delta / (1 - sim + 1e-6), 6) AS sali FROM k",
-    "sali_landscape": f"WITH {_BASE} SELECT a AS mol_i, b AS mol_j, round(sim, 6) AS sim, round(delta, 6) AS delta, round(delta / (1 - sim + 1e-6), 6) AS sali FROM d WHERE sim >= 0.5 - 1e-12",
+    "sali_landscape": f"""WITH {_BASE}, w AS (SELECT a, b, sim FROM s UNION ALL SELECT b, a, sim FROM s), h AS (SELECT p.* FROM p JOIN n USING (mol_id)),
+        g AS (SELECT x.mol_id AS a, y.mol_id AS b, coalesce(sim, 0) AS sim, abs(x.p - y.p) AS delta FROM h x JOIN h y ON x.mol_id % 20 = 0 AND x.mol_id <> y.mol_id LEFT JOIN w ON w.a = x.mol_id AND w.b = y.mol_id)
+        SELECT a AS mol_i, b AS mol_j, round(sim, 6) AS sim, round(delta, 6) AS delta, round(delta / (1 - sim + 1e-6), 6) AS sali FROM g""",
+    "similarity_classes": f"""WITH {_BASE}, f AS (SELECT mol_id, list(tok ORDER BY tok) AS toks FROM t GROUP BY 1), g AS (SELECT mol_id, min(mol_id) OVER (PARTITION BY toks) AS class_id, count(*) OVER (PARTITION BY toks) AS copies FROM f),
+        e AS (SELECT a AS mol_id FROM s WHERE sim >= 0.8 - 1e-12 UNION ALL SELECT b FROM s WHERE sim >= 0.8 - 1e-12)
+        SELECT g.*, (SELECT count(*) FROM e WHERE e.mol_id = g.mol_id) AS n_links FROM g""",
     "similarity_neighbors": f"WITH {_BASE} SELECT mol_id, count(*) AS n_neighbors FROM (SELECT a AS mol_id FROM s WHERE sim >= 0.8 - 1e-12 UNION ALL SELECT b FROM s WHERE sim >= 0.8 - 1e-12) GROUP BY 1",
     "cliff_nodes": f"WITH {_BASE} SELECT mol_id, mol_id IN (SELECT mol_id FROM {_ENDS}) AS in_cliff FROM p",
     "cliff_components": f"""WITH RECURSIVE {_BASE}, e AS (SELECT a, b FROM s WHERE sim >= 0.8 - 1e-12 UNION SELECT b, a FROM s WHERE sim >= 0.8 - 1e-12),

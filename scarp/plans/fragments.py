@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import fragments as R
 from ..operators import preparation as P
-from ..operators import similarity as S
 from ..store import Scratch
 from ..tables import table
-from .cliffs import _BASE, molecule_sets, plain_fragment, potency
+from .cliffs import _BASE, cliff_pairs, plain_fragment, potency
 
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +27,7 @@ def _ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _enrichment(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = Scratch(spark, "cliffs").save(S.cliffs(molecule_sets(spark, folder), potency(spark, folder)), "cliffs")
+    pairs = Scratch(spark, "cliffs").save(cliff_pairs(spark, folder), "cliffs")
     return R.cliff_enrichment(R.clipped_sali(pairs), _members(spark, folder))
 
 

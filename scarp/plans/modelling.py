@@ -13,7 +13,7 @@ from ..operators import preparation as P
 from ..operators import similarity as S
 from ..store import Scratch
 from ..tables import table
-from .cliffs import _BASE, labelled_groups, molecule_sets, potency
+from .cliffs import _BASE, labelled_groups, molecule_sets, molecule_tokens, potency
 
 DESCRIPTORS = ("mol_wt", "alogp", "max_phase")
 #: Repeats of splits and folds, and rounds of scrambled labels, as many as the reference makes.
@@ -88,14 +88,14 @@ def pca_projection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def butina_groups(spark: SparkSession, folder: str) -> DataFrame:
-    out = clustering.butina(S.tanimoto_join(molecule_sets(spark, folder), 0.8))
+    out = clustering.butina(S.similar_classes(molecule_tokens(spark, folder), 0.8))
     return out.select(F.col("key").alias("mol_id"), F.col("centroid").alias("centroid_id"))
 
 
 def neighbor_votes(spark: SparkSession, folder: str) -> DataFrame:
-    """The mean label of the five nearest labelled molecules from a similarity of 0.6 on."""
-    pairs = Scratch(spark, "near").save(S.tanimoto_join(molecule_sets(spark, folder), 0.6), "near")
-    return clustering.nearest_votes(pairs, _labels(spark, folder)).select(F.col("key").alias("mol_id"), "y", F.round("p", 6).alias("p"), "n_votes")
+    """For every molecule whose mol_id is divisible by 20: the mean label of its 15 nearest of all labelled molecules."""
+    rows = Scratch(spark, "votes").save(molecule_sets(spark, folder).join(_labels(spark, folder), "key", "left").select("key", "y", "toks"), "rows")
+    return clustering.nearest_votes(rows.where("key % 20 = 0"), rows).select(F.col("key").alias("mol_id"), F.col("y").cast("double").alias("y"), F.round("p", 6).alias("p"), "n_votes")
 
 
 QUERIES = {f.__name__: f for f in (model_evaluation, cross_validation, label_scramble, fragment_importance, descriptor_features, descriptor_importance, pca_projection, butina_groups, neighbor_votes)}
@@ -106,7 +106,8 @@ _SCALED = "round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) AS {c}"
 ORACLE_SQL = {
     "descriptor_features": f"""WITH v AS (SELECT mol_id, {', '.join(_FINITE.format(c=c) for c in DESCRIPTORS)} FROM chemical_space), w AS (SELECT mol_id, {', '.join(_FILLED.format(c=c) for c in DESCRIPTORS)} FROM v)
         SELECT mol_id, {', '.join(_SCALED.format(c=c) for c in DESCRIPTORS)} FROM w""",
-    "neighbor_votes": f"""WITH {_BASE}, y AS (SELECT mol_id, CAST(p >= 6 AS INT) AS y FROM p), e AS (SELECT a AS mol_id, b AS o, sim FROM s WHERE sim >= 0.6 - 1e-12 UNION ALL SELECT b, a, sim FROM s WHERE sim >= 0.6 - 1e-12),
-        ranks AS (SELECT e.mol_id, y.y AS vote, row_number() OVER (PARTITION BY e.mol_id ORDER BY sim DESC, o) AS rank FROM e JOIN y ON y.mol_id = e.o)
-        SELECT k.mol_id, any_value(y.y) AS y, round(avg(vote), 6) AS p, count(*) AS n_votes FROM ranks k JOIN y ON y.mol_id = k.mol_id WHERE rank <= 5 GROUP BY 1""",
+    "neighbor_votes": f"""WITH {_BASE}, y AS (SELECT mol_id, CAST(p >= 6 AS INT) AS y FROM p), w AS (SELECT a, b, sim FROM s UNION ALL SELECT b, a, sim FROM s),
+        e AS (SELECT x.mol_id, y.mol_id AS o, y.y AS vote, coalesce(sim, 0) AS sim FROM n x JOIN (SELECT * FROM y JOIN n USING (mol_id)) y ON x.mol_id % 20 = 0 AND x.mol_id <> y.mol_id LEFT JOIN w ON w.a = x.mol_id AND w.b = y.mol_id),
+        ranks AS (SELECT *, row_number() OVER (PARTITION BY mol_id ORDER BY sim DESC, o) AS rank FROM e)
+        SELECT k.mol_id, any_value(y.y)::DOUBLE AS y, round(avg(vote), 6) AS p, count(*) AS n_votes FROM ranks k LEFT JOIN y ON y.mol_id = k.mol_id WHERE rank <= 15 GROUP BY 1""",
 }

@@ -38,8 +38,11 @@ def union_custom(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def removed_antijoin(spark: SparkSession, folder: str) -> DataFrame:
-    removed = table(spark, folder, "removed_compounds").select("canonical_smiles").where("canonical_smiles is not null").distinct()
-    return table(spark, folder, "chemical_space").select("mol_id", "canonical_smiles").join(removed, "canonical_smiles", "left_anti")
+    """Molecules without a removed record, be it known by identifier, however written, or by structure alone."""
+    space = table(spark, folder, "chemical_space").select("mol_id", "chembl_id", "canonical_smiles")
+    named = table(spark, folder, "removed_compounds").select(P.compound_key(F.col("chembl_id"), F.col("canonical_smiles")).alias("compound_key")).where("compound_key is not null").distinct()
+    gone = P.both_keys(space, "mol_id", "chembl_id", "canonical_smiles").join(named, "compound_key", "left_semi").select(F.col("key").alias("mol_id")).distinct()
+    return space.select("mol_id", "canonical_smiles").join(gone, "mol_id", "left_anti")
 
 
 def dataset_validation(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +59,11 @@ _CLEAN = rf"""SELECT mol_id, activity_id, round(nm, 6) AS nm, round(-log10(nm *
     SELECT mol_id, activity_id, CASE WHEN standard_units = 'ug.mL-1' THEN v / nullif(mol_wt, 0) * 1e6 ELSE v END AS nm FROM (
       SELECT *, TRY_CAST(nullif(regexp_extract(standard_value, '^\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*$', 1), '') AS DOUBLE) AS v FROM ({_MERGED}) WHERE upper(trim(standard_type)) = 'IC50' AND mol_wt < 900 AND alogp < 8)
     WHERE v IS NOT NULL) WHERE nm > 0) WHERE rn = 1"""
+#: SQL of ``preparation.compound_id``, ``stripped`` and ``compound_key``.
+SQL_STRIP = r"nullif(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '')"
+SQL_ID = r"'CHEMBL' || nullif(regexp_extract(upper({c}), '^\s*CHEMBL[\s_:#-]*0*([1-9]\d*)\s*$', 1), '')"
+SQL_KEY = f"coalesce({SQL_ID.format(c='chembl_id')}, '=' || {SQL_STRIP.format(c='canonical_smiles')})"
+SQL_BOTH = f"(SELECT mol_id, unnest([{SQL_ID.format(c='chembl_id')}, '=' || {SQL_STRIP.format(c='canonical_smiles')}]) AS compound_key FROM chemical_space)"
 ORACLE_SQL = {
     "merge_space": _MERGED,
     "clean_compounds": _CLEAN,
@@ -63,7 +71,7 @@ ORACLE_SQL = {
         row_number() OVER (PARTITION BY trim(canonical_smiles) ORDER BY CASE WHEN lower(trim(coalesce(activity_flag, ''))) = 'active' THEN 0 ELSE 1 END, CASE WHEN isnan(standard_value) THEN NULL ELSE standard_value END ASC NULLS LAST, record_id) AS rn
         FROM removed_compounds WHERE trim(canonical_smiles) <> '') WHERE rn = 1""",
     "union_custom": f"SELECT 'MOL_' || mol_id AS id, nm, pic50 FROM ({_CLEAN}) UNION ALL SELECT 'OWN_' || record_id, round(standard_value, 6), round(-log10(standard_value * 1e-9), 6) FROM removed_compounds WHERE standard_value > 0 AND NOT isnan(standard_value)",
-    "removed_antijoin": "SELECT mol_id, canonical_smiles FROM chemical_space s WHERE NOT EXISTS (SELECT 1 FROM removed_compounds r WHERE r.canonical_smiles = s.canonical_smiles)",
+    "removed_antijoin": f"SELECT mol_id, canonical_smiles FROM chemical_space WHERE mol_id NOT IN (SELECT mol_id FROM {SQL_BOTH} WHERE compound_key IN (SELECT {SQL_KEY} FROM removed_compounds))",
     "dataset_validation": """SELECT n_rows, n_structures, n_responses, round(r, 6) AS active_ratio, coalesce(r BETWEEN 0.05 AND 0.95, false) AS is_balanced, coalesce(r > 0 AND r < 1, false) AS has_two_classes FROM (
         SELECT count(*) AS n_rows, count(*) FILTER (WHERE trim(canonical_smiles) <> '') AS n_structures, count(p) AS n_responses, avg(CASE WHEN p >= 5 THEN 1.0 WHEN p IS NOT NULL THEN 0.0 END) AS r
         FROM (SELECT canonical_smiles, CASE WHEN standard_value > 0 AND NOT isnan(standard_value) THEN -log10(standard_value * 1e-9) END AS p FROM removed_compounds))""",

@@ -77,7 +77,7 @@ def test_tanimoto_against_brute_force(spark):
     sets = {i: frozenset(rng.choice(12, rng.integers(1, 8), replace=False).tolist()) for i in range(60)}
     df = spark.createDataFrame([(i, int(t)) for i, s in sets.items() for t in s] + [(999, None)], "k long, t long")
     for t in (0.5, 0.8, 1.0):
-        got = {(r.a, r.b) for r in similarity.tanimoto_join(similarity.item_sets(df, "k", F.col("t")), t).collect()}
+        got = {(r.a, r.b) for r in similarity.tanimoto_join(similarity.tokens(df, "k", F.col("t")), t).collect()}
         assert got == {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-12}
 
 
@@ -115,6 +115,70 @@ def test_front_and_empty(spark):
     assert candidates.pareto_front(df.limit(0), ["a", "b"]).count() == 0
 
 
+def test_front_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    free, line = rng.random((300, 3)).round(2), np.linspace(0, 1, 200)
+    for points in (free, np.c_[line, 1 - line, np.zeros(200)]):  # independent objectives, and opposed ones: all on the front
+        df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "k long, a double, b double, c double")
+        expected = {i for i, p in enumerate(points) if not ((points >= p).all(axis=1) & (points > p).any(axis=1)).any()}
+        assert {r.k for r in candidates.pareto_front(df, ["a", "b", "c"], levels=4).collect()} == expected
+
+
+def test_first_k(spark):
+    values = [(i, float(v)) for i, v in enumerate(np.random.default_rng(5).integers(0, 40, 300))] + [(900, None), (901, float("nan"))]
+    df = spark.createDataFrame(values, "k long, v double")
+    order = sorted(values[:300], key=lambda r: (r[1], r[0]))
+    for k in (0, 1, 7, 150, 302, 999):
+        got = {r.k: r.rank for r in skew.first_k(df, F.col("v"), ["k"], k).collect()}
+        assert got == {key: i + 1 for i, key in enumerate([r[0] for r in order] + [900, 901]) if i < k}
+    assert skew.first_k(df.limit(0), F.col("v"), ["k"], 3).count() == 0
+
+
+def test_hot_keys_keep_all_rows(spark):
+    left = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(400)] + [(None, 1)], "k long, i long")
+    right = spark.createDataFrame([(0, "a"), (7, "h")], "k long, v string")
+    for how in ("left", "inner"):
+        assert sorted(map(str, skew.lookup_join(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+    two = left.select("k", F.col("i").alias("j"))
+    assert sorted(map(tuple, skew.blocked_join(left, two, "k").collect())) == sorted(map(tuple, left.join(two, "k").collect()))
+
+
+def test_ranks_and_sums_of_hot_groups(spark):
+    df = spark.createDataFrame([("hot" if i % 3 else f"g{i}", i, 1 + i % 5) for i in range(300)], "g string, i long, v long").withColumn("h", F.xxhash64("i"))
+    ranks = skew.salted_rank(df, ["g"], [F.col("i")], "r", id_cols=["i"]).groupBy("g").agg(F.sort_array(F.collect_list("r")).alias("r")).collect()
+    assert all(r.r == list(range(1, len(r.r) + 1)) for r in ranks)
+    for g in ("hot", "g0"):
+        total = 0
+        for r in sorted((r for r in skew.running_sum(df, ["g"], "h", ["i"], "v", "before").collect() if r.g == g), key=lambda r: r.h):
+            assert r.before == total
+            total += r.v
+
+
+def test_diverse_choice_against_the_plain_rule(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "LOOK_AHEAD", 5)
+    rng = np.random.default_rng(9)
+    sets = [sorted({f"t{t}" for t in rng.integers(0, 9, rng.integers(0, 5))}) for _ in range(80)]
+    df = spark.createDataFrame([(100 + i, i + 1, s) for i, s in enumerate(sets)], "id long, rank int, toks array<string>")
+    sim = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    chosen = []
+    while len(chosen) < 30:
+        chosen.append(min((i for i in range(80) if i not in chosen), key=lambda i: (max((sim(sets[i], sets[c]) for c in chosen), default=-1.0), i)))
+    got = {r.id - 100: r.pick for r in candidates.greedy_diverse(df, "id", "toks", 30).collect()}
+    assert got == {c: i + 1 for i, c in enumerate(chosen)}
+    assert candidates.greedy_diverse(df.limit(0), "id", "toks", 3).count() == 0
+
+
+def test_potency_of_records_by_identifier_and_structure(spark, tmp_path):
+    from scarp.plans import cliffs, preparation as plan
+
+    space = [(1, "CHEMBL7", "CC"), (2, "CHEMBL8", "CN"), (3, "CHEMBL9", "CO")]
+    spark.createDataFrame(space, "mol_id long, chembl_id string, canonical_smiles string").write.parquet(str(tmp_path / "chemical_space.parquet"))
+    records = [(1, "chembl-007", None, 10.0), (2, None, "\tCC ", 1000.0), (3, "CHEMBL 8", "wrong", 100.0), (3, "CHEMBL 8", "wrong", 100.0), (4, None, "  ", 5.0), (5, "CHEMBL9", "CO", None)]
+    spark.createDataFrame(records, "record_id long, chembl_id string, canonical_smiles string, standard_value double").write.parquet(str(tmp_path / "removed_compounds.parquet"))
+    assert {r.key: round(r.p, 9) for r in cliffs.potency(spark, str(tmp_path)).collect()} == {1: 7.0, 2: 7.0}
+    assert plan.removed_antijoin(spark, str(tmp_path)).count() == 0
+
+
 def test_enrichment_is_one_sided(spark):
     pairs = spark.createDataFrame([(1, 2, 8.0, 6.0, 5.0)], "a long, b long, pa double, pb double, sali double")
     members = spark.createDataFrame([(1, "x"), (1, "z"), (2, "y"), (2, "z")], "key long, fragment string")

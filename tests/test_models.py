@@ -20,19 +20,34 @@ def _greedy(pairs):
     return out
 
 
+def _pairs_of(found):
+    return {(r.a, r.b) for r in similarity.expanded(found).collect()}
+
+
 def test_butina_against_greedy(spark):
     rng = np.random.default_rng(4)
-    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (90, 2))] + [(7, 7), (1, 2), (2, 1)] + [(100 + i, 101 + i) for i in range(9)]
-    got = clustering.butina(spark.createDataFrame(pairs, "a long, b long"))
-    assert {r.key: r.centroid for r in got.collect()} == _greedy(pairs)
-    assert clustering.butina(spark.createDataFrame([], "a long, b long")).count() == 0
+    rows = [(i, int(t)) for i in range(60) for t in rng.choice(10, rng.integers(2, 5), replace=False)] + [(i, t) for i in range(70, 76) for t in (1, 2)]
+    found = similarity.similar_classes(spark.createDataFrame(rows, "key long, tok long"), 0.5)
+    assert {r.key: r.centroid for r in clustering.butina(found).collect()} == _greedy(_pairs_of(found))
+    nothing = similarity.similar_classes(spark.createDataFrame([], "key long, tok long"), 0.5)
+    assert clustering.butina(nothing).count() == 0 and similarity.expanded(nothing).count() == 0
+
+
+def test_counts_and_components_of_classes(spark):
+    rows = [(i, t) for i in range(30) for t in ("a", "b", "c", "d")] + [(40, t) for t in ("a", "b", "c", "d", "e")] + [(50, "z"), (51, "z"), (60, "q")]
+    found = similarity.similar_classes(spark.createDataFrame(rows, "key long, tok string"), 0.8)
+    counts = {r.key: r.n_neighbors for r in similarity.neighbor_counts(found).collect()}
+    assert counts == {**{i: 30 for i in range(30)}, 40: 30, 50: 1, 51: 1}
+    groups = {r.key: r.group_key for r in similarity.class_components(found).collect()}
+    assert groups == {**{i: 0 for i in range(30)}, 40: 0, 50: 50, 51: 50}
 
 
 def test_votes(spark):
-    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (1, 4, 0.8), (5, 5, 1.0)], "a long, b long, sim double")
-    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, None), (5, 1)], "key long, y int")
-    got = {r.key: (r.p, r.n_votes) for r in clustering.nearest_votes(pairs, labels, 2).collect()}
-    assert got == {1: (0.5, 2), 2: (1.0, 1), 3: (1.0, 1)}
+    sets = {1: "abcd", 2: "abc", 3: "abx", 4: "abcd", 5: "q"}
+    labels = {1: 1, 2: 0, 3: 1, 4: None, 5: 1}
+    rows = spark.createDataFrame([(k, labels[k], list(t)) for k, t in sets.items()], "key long, y int, toks array<string>")
+    got = {r.key: (r.p, r.n_votes) for r in clustering.nearest_votes(rows.where("key in (1, 4)"), rows, 2).collect()}
+    assert got == {1: (0.5, 2), 4: (0.5, 2)}
 
 
 def _sets(spark, n=240):
