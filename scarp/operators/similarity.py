@@ -36,6 +36,15 @@ def tokens(rows: DataFrame, key: str, token: Column) -> DataFrame:
     return rows.select(F.col(key).alias("key"), token.alias("tok")).where("key is not null and tok is not null")
 
 
+def numbered_sets(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, s): the token sets of ``postings`` (key, tok) as sorted arrays of numbers; the rarest token has number 1."""
+    counts = postings.groupBy("tok").agg(F.count("*").alias("f"))
+    numbers = ordered_running(counts, [], [F.col("f"), F.col("tok")], {}).withColumnRenamed("rn", "id")
+    most = numbers.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n"), F.coalesce(F.max("f"), F.lit(0)).alias("f")).first()
+    numbered = lookup_join(postings, numbers.select("tok", "id"), "tok", "inner", rows=most.n, most=most.f)
+    return scratch.save(numbered.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("s")), "sets")
+
+
 def similar_classes(postings: DataFrame, threshold: float) -> Similar:
     """Keys of ``postings`` (key, tok) whose token sets have a Tanimoto similarity of at least ``threshold`` (above 0).
 
@@ -46,11 +55,7 @@ def similar_classes(postings: DataFrame, threshold: float) -> Similar:
     room for enough more, and only such pairs fetch their sets. Repeats change nothing; keys without a token are in no class.
     """
     scratch = Scratch(postings.sparkSession, "tanimoto")
-    counts = postings.groupBy("tok").agg(F.count("*").alias("f"))
-    numbers = ordered_running(counts, [], [F.col("f"), F.col("tok")], {}).withColumnRenamed("rn", "id")
-    most = numbers.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n"), F.coalesce(F.max("f"), F.lit(0)).alias("f")).first()
-    numbered = lookup_join(postings, numbers.select("tok", "id"), "tok", "inner", rows=most.n, most=most.f)
-    sets = scratch.save(numbered.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("s")), "sets")
+    sets = numbered_sets(postings, scratch)
     size = F.size("s")
     keep = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
     grouped = sets.groupBy("s").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
