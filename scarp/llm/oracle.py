@@ -9,6 +9,10 @@ _USABLE = {"activity_flag": _FLAG, "standard_value": "standard_value > 0 AND NOT
 _ENDS = "SELECT nullif({a}, '') AS a, nullif({b}, '') AS b FROM activity_cliffs".format(a=_STRIP.format(c="mol_i"), b=_STRIP.format(c="mol_j"))
 _TOKEN = r"nullif(regexp_replace(trim(fragment), '\[(?:\d+\*|\*:\d+|\d+\*:\d+)\]', '[*]', 'g'), '')"
 
+_SIMILAR = f"""t AS (SELECT DISTINCT mol_id, {_TOKEN} AS tok FROM fragment_membership WHERE mol_id IS NOT NULL AND {_TOKEN} IS NOT NULL), n AS (SELECT mol_id, count(*) AS n FROM t GROUP BY 1),
+        o AS (SELECT a.mol_id AS a, b.mol_id AS b, count(*) AS o FROM t a JOIN t b ON a.tok = b.tok AND a.mol_id < b.mol_id GROUP BY 1, 2),
+        f AS (SELECT a, b, o / (x.n + y.n - o) AS sim FROM o JOIN n x ON x.mol_id = a JOIN n y ON y.mol_id = b WHERE 5 * o >= 4 * (x.n + y.n - o))"""
+
 ORACLE_SQL = {
     "p1_found": f"""WITH reg AS (SELECT smi, min(id) AS found FROM (SELECT {_STRIP.format(c='canonical_smiles')} AS smi, {_ID.format(c='chembl_id')} AS id FROM chemical_space) WHERE id IS NOT NULL GROUP BY 1),
         src AS (SELECT source_name, min(trust_rank) AS trust_rank FROM data_sources GROUP BY 1),
@@ -20,7 +24,8 @@ ORACLE_SQL = {
         QUALIFY row_number() OVER (PARTITION BY compound, field_name ORDER BY trust_rank NULLS LAST, curated_at DESC NULLS LAST, record_id) = 1""",
     "p4_found": f"""WITH RECURSIVE l AS (SELECT * FROM ({_ENDS}) WHERE a IS NOT NULL AND b IS NOT NULL), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         c AS (SELECT a AS mol, a AS g FROM e UNION SELECT e.b, c.g FROM c JOIN e ON e.a = c.mol WHERE c.g < e.b) SELECT min(g) AS group_mol, mol FROM c GROUP BY mol""",
-    "p6_found": f"""WITH t AS (SELECT DISTINCT mol_id, {_TOKEN} AS tok FROM fragment_membership WHERE mol_id IS NOT NULL AND {_TOKEN} IS NOT NULL), n AS (SELECT mol_id, count(*) AS n FROM t GROUP BY 1),
-        o AS (SELECT a.mol_id AS a, b.mol_id AS b, count(*) AS o FROM t a JOIN t b ON a.tok = b.tok AND a.mol_id < b.mol_id GROUP BY 1, 2)
-        SELECT a AS mol_a, b AS mol_b FROM o JOIN n x ON x.mol_id = a JOIN n y ON y.mol_id = b WHERE 5 * o >= 4 * (x.n + y.n - o)""",
+    "p6_found": f"WITH {_SIMILAR} SELECT a AS mol_a, b AS mol_b FROM f",
+    "p6_similar_pairs": f"WITH {_SIMILAR} SELECT a AS mol_i, b AS mol_j, sim FROM f",
+    "p6_similar_sets": f"""WITH {_SIMILAR}, l AS (SELECT mol_id, list(tok ORDER BY tok) AS toks FROM t GROUP BY 1), e AS (SELECT a AS mol_id FROM f UNION ALL SELECT b FROM f)
+        SELECT mol_id, min(mol_id) OVER (PARTITION BY toks) AS class_id, count(*) OVER (PARTITION BY toks) AS copies, (SELECT count(*) FROM e WHERE e.mol_id = l.mol_id) AS n_links FROM l""",
 }

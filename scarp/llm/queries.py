@@ -45,6 +45,11 @@ def p6_similar_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return set_join.similar_pairs(table(spark, folder, "fragment_membership"), "mol_id", set_join.fragment_token(F.col("fragment")))
 
 
+def p6_similar_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every molecule with its class of equal fragment sets, the copies in it and its number of similar molecules."""
+    return set_join.linked_members(table(spark, folder, "fragment_membership"), "mol_id", set_join.fragment_token(F.col("fragment")))
+
+
 def p5_varied_subset(spark: SparkSession, folder: str) -> DataFrame:
     """SUBSET_SIZE hits of good score that cover the variety of structures and cores."""
     return varied_subset.varied_subset(table(spark, folder, "hits"), SUBSET_SIZE)
@@ -87,6 +92,7 @@ QUERIES = {
     "p5_varied_subset": p5_varied_subset,
     "p6_found": p6_found,
     "p6_similar_pairs": p6_similar_pairs,
+    "p6_similar_sets": p6_similar_sets,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_mixture": p8_mixture,

@@ -1,6 +1,7 @@
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scarp.llm import groups, mixing, packing, set_join
@@ -27,6 +28,33 @@ def test_groups_against_union_find(spark):
     assert {(r.group_mol, r.mol) for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(3, 5), Fraction(7, 10), Fraction(4, 5), Fraction(9, 10), Fraction(1)])
+def test_similar_sets_at_every_threshold(spark, t):
+    rng = np.random.default_rng(int(100 * t))
+    sets = {i: set(rng.choice(30, int(rng.integers(1, 26)), replace=False).tolist()) for i in range(50)}
+    for i in range(50, 130):
+        sets[i] = set(sets[int(rng.integers(0, i))])
+        for _ in range(int(rng.integers(0, 5))):
+            sets[i].symmetric_difference_update({int(rng.integers(0, 30))})
+    expected = {(i, j): Fraction(len(sets[i] & sets[j]), len(sets[i] | sets[j])) for i in sets for j in sets if i < j and sets[i] | sets[j]}
+    expected = {pair: float(sim) for pair, sim in expected.items() if sim >= t}
+    df = spark.createDataFrame([(i, f"t{x}") for i, s in sets.items() for x in s], "k long, t string")
+    got = {(r.mol_i, r.mol_j): r.sim for r in set_join.similar_pairs(df, "k", F.col("t"), t).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[p] - expected[p]) < 1e-12 for p in got)
+
+
+def test_links_of_copies_are_counted_not_made(spark):
+    df = spark.createDataFrame([(i, t) for i in range(40) for t in "abcd"] + [(50, t) for t in "abcde"] + [(60, "z"), (70, None)], "k long, t string")
+    got = {r.k: (r.class_id, r.copies, r.n_links) for r in set_join.linked_members(df, "k", F.col("t")).collect()}
+    assert got == {**{i: (0, 40, 40) for i in range(40)}, 50: (50, 1, 40), 60: (60, 1, 0)}
+
+
+def test_small_sets_leave_out_two_tokens_at_most():
+    for t in (Fraction(1, 2), Fraction(3, 5), Fraction(7, 10), Fraction(4, 5), Fraction(9, 10)):
+        limit = set_join.small_limit(t)
+        assert max(skip for _, skip, _ in set_join.subset_plan(limit, t)) <= 2 < max(skip for _, skip, _ in set_join.subset_plan(limit + 1, t))
+
+
 def test_similar_sets_against_brute_force(spark):
     rng = np.random.default_rng(9)
     base = [rng.choice(60, n, replace=False).tolist() for n in (3, 5, 9, 14, 15, 20, 25)]
