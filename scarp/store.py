@@ -17,7 +17,7 @@ import uuid
 import warnings
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -76,10 +76,12 @@ class Scratch:
         return saved
 
     def save_measured(self, df: DataFrame, tag: str, **measures) -> tuple[DataFrame, dict]:
-        """As ``save``, with aggregates of the rows (``n``: how many) that are taken while they are written."""
-        seen = Observation()
-        saved = self.save(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]), tag)
-        return saved, seen.get
+        """As ``save``, with aggregates of the rows that were written (``n``: how many; alone it is read off the file footers).
+
+        An ``Observation`` would take them while writing, but it ties a listener to the session that MLlib then fails to serialise.
+        """
+        saved = self.save(df, tag)
+        return saved, saved.agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()]).first().asDict()
 
     def forget(self, *tables: DataFrame) -> None:
         """Delete saved tables that nothing will read again."""
