@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from ..store import Scratch
 
 #: The cliff definition and the constant that keeps SALI finite.
 CLIFF_SIMILARITY, CLIFF_DELTA, SALI_EPSILON = 0.8, 1.0, 1e-6
+#: Distinct tokens whose numbers are broadcast; a larger vocabulary is joined by shuffle.
+BROADCAST_TOKENS = 100_000
 #: Query rows and table rows that meet in one block of a search without an index.
 QUERY_BLOCK, TABLE_BLOCK = 256, 4096
 
@@ -36,16 +39,22 @@ def tokens(rows: DataFrame, key: str, token: Column) -> DataFrame:
     return rows.select(F.col(key).alias("key"), token.alias("tok")).where("key is not null and tok is not null")
 
 
-def numbered_sets(postings: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, s): the token sets of ``postings`` (key, tok) as sorted arrays of numbers; the rarest token has number 1."""
-    counts = postings.groupBy("tok").agg(F.count("*").alias("f"))
-    numbers = ordered_running(counts, [], [F.col("f"), F.col("tok")], {}).withColumnRenamed("rn", "id")
-    most = numbers.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("n"), F.coalesce(F.max("f"), F.lit(0)).alias("f")).first()
-    numbered = lookup_join(postings, numbers.select("tok", "id"), "tok", "inner", rows=most.n, most=most.f)
+def numbered_sets(postings: DataFrame, scratch: Scratch, clean: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, s): the token sets of ``postings`` (key, tok) as sorted arrays of numbers; the rarest token has number 1.
+
+    ``clean`` takes a spelling to its token (null: none) and is applied to the distinct spellings only.
+    """
+    spelled = postings.groupBy("tok").agg(F.count("*").alias("f")).withColumn("clean", clean(F.col("tok")) if clean else F.col("tok")).where("clean is not null")
+    spelled, seen = scratch.save_measured(spelled, "spellings", rows=F.coalesce(F.sum("f"), F.lit(0)), most=F.coalesce(F.max("f"), F.lit(0)))
+    counts = spelled.groupBy("clean").agg(F.sum("f").alias("f"))
+    numbers = ordered_running(counts, [], [F.col("f"), F.col("clean")], {}).select("clean", F.col("rn").alias("id"))
+    numbers = spelled.join(numbers, "clean").select("tok", "id")
+    # The size of a vocabulary is checked: a small one goes to every task, any other is joined by shuffle.
+    numbered = postings.join(F.broadcast(numbers), "tok") if seen["n"] <= BROADCAST_TOKENS else lookup_join(postings, numbers, "tok", "inner", rows=seen["rows"], most=seen["most"])
     return scratch.save(numbered.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("s")), "sets")
 
 
-def similar_classes(postings: DataFrame, threshold: float) -> Similar:
+def similar_classes(postings: DataFrame, threshold: float, clean: Callable[[Column], Column] | None = None) -> Similar:
     """Keys of ``postings`` (key, tok) whose token sets have a Tanimoto similarity of at least ``threshold`` (above 0).
 
     Keys with equal sets are one class, named by its smallest key; its members are all similar to each other and
@@ -55,7 +64,7 @@ def similar_classes(postings: DataFrame, threshold: float) -> Similar:
     room for enough more, and only such pairs fetch their sets. Repeats change nothing; keys without a token are in no class.
     """
     scratch = Scratch(postings.sparkSession, "tanimoto")
-    sets = numbered_sets(postings, scratch)
+    sets = numbered_sets(postings, scratch, clean)
     size = F.size("s")
     keep = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
     grouped = sets.groupBy("s").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
@@ -106,12 +115,12 @@ def known_response(response: DataFrame) -> DataFrame:
     return response.where("p is not null and not isnan(p)").select("key", "p").dropDuplicates(["key"])
 
 
-def cliffs(postings: DataFrame, response: DataFrame, similarity: float = CLIFF_SIMILARITY, delta: float = CLIFF_DELTA) -> DataFrame:
+def cliffs(postings: DataFrame, response: DataFrame, similarity: float = CLIFF_SIMILARITY, delta: float = CLIFF_DELTA, clean: Callable[[Column], Column] | None = None) -> DataFrame:
     """(a, b, sim, pa, pb, delta, sali), a < b: pairs that are similar in structure and far apart in response.
 
     Members of a class get their response before classes are expanded, and only pairs far enough apart leave the join.
     """
-    found = similar_classes(postings, similarity)
+    found = similar_classes(postings, similarity, clean)
     told, n = Scratch(postings.sparkSession, "cliffs").save_measured(found.members.join(known_response(response), "key").select("rep", "key", "p", "copies"), "told")
     one, two = told.select(F.col("rep").alias("x"), F.col("key").alias("a"), F.col("p").alias("pa")), told.select(F.col("rep").alias("y"), F.col("key").alias("b"), F.col("p").alias("pb"))
     apart = F.abs(F.col("pa") - F.col("pb"))

@@ -19,7 +19,8 @@ def plain_fragment(fragment: Column) -> Column:
 
 
 def molecule_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return S.tokens(table(spark, folder, "fragment_membership"), "mol_id", plain_fragment(F.col("fragment")))
+    """(key, tok): fragments as they are spelled; ``plain_fragment`` takes them to tokens."""
+    return S.tokens(table(spark, folder, "fragment_membership"), "mol_id", F.col("fragment"))
 
 
 def molecule_sets(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,11 +40,11 @@ def potency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _classes(spark: SparkSession, folder: str) -> S.Similar:
-    return S.similar_classes(molecule_tokens(spark, folder), S.CLIFF_SIMILARITY)
+    return S.similar_classes(molecule_tokens(spark, folder), S.CLIFF_SIMILARITY, plain_fragment)
 
 
 def cliff_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return S.cliffs(molecule_tokens(spark, folder), potency(spark, folder))
+    return S.cliffs(molecule_tokens(spark, folder), potency(spark, folder), clean=plain_fragment)
 
 
 def activity_cliffs(spark: SparkSession, folder: str) -> DataFrame:

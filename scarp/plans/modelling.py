@@ -13,7 +13,7 @@ from ..operators import preparation as P
 from ..operators import similarity as S
 from ..store import Scratch
 from ..tables import table
-from .cliffs import _BASE, labelled_groups, molecule_sets, molecule_tokens, potency
+from .cliffs import _BASE, labelled_groups, molecule_sets, molecule_tokens, plain_fragment, potency
 
 DESCRIPTORS = ("mol_wt", "alogp", "max_phase")
 #: Repeats of splits and folds, and rounds of scrambled labels, as many as the reference makes.
@@ -88,7 +88,7 @@ def pca_projection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def butina_groups(spark: SparkSession, folder: str) -> DataFrame:
-    out = clustering.butina(S.similar_classes(molecule_tokens(spark, folder), 0.8))
+    out = clustering.butina(S.similar_classes(molecule_tokens(spark, folder), 0.8, plain_fragment))
     return out.select(F.col("key").alias("mol_id"), F.col("centroid").alias("centroid_id"))
 
 
