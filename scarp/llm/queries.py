@@ -37,17 +37,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Molecules whose fragment sets are similar: (mol_a, mol_b)."""
-    pairs = set_join.similar_pairs(table(spark, folder, "fragment_membership"), "mol_id", set_join.fragment_token(F.col("fragment")))
+    pairs = set_join.similar_pairs(table(spark, folder, "fragment_membership"), "mol_id", F.col("fragment"), clean=set_join.fragment_token)
     return pairs.select(F.col("mol_i").alias("mol_a"), F.col("mol_j").alias("mol_b"))
 
 
 def p6_similar_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return set_join.similar_pairs(table(spark, folder, "fragment_membership"), "mol_id", set_join.fragment_token(F.col("fragment")))
+    return set_join.similar_pairs(table(spark, folder, "fragment_membership"), "mol_id", F.col("fragment"), clean=set_join.fragment_token)
 
 
 def p6_similar_sets(spark: SparkSession, folder: str) -> DataFrame:
     """Every molecule with its class of equal fragment sets, the copies in it and its number of similar molecules."""
-    return set_join.linked_members(table(spark, folder, "fragment_membership"), "mol_id", set_join.fragment_token(F.col("fragment")))
+    return set_join.linked_members(table(spark, folder, "fragment_membership"), "mol_id", F.col("fragment"), clean=set_join.fragment_token)
 
 
 def p5_varied_subset(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ once, as one class.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from fractions import Fraction
 from typing import NamedTuple
 
@@ -23,7 +24,7 @@ from ..skew import blocked_join, lookup_join
 from ..store import Scratch
 
 #: Tokens that a small set leaves out at most; a set that would have to leave out more is large.
-LEFT_OUT = 2
+LEFT_OUT = 1
 #: No set of more tokens is small, whatever the threshold.
 MOST_SMALL = 32
 DEFAULT_SIMILARITY = Fraction(4, 5)
@@ -100,15 +101,16 @@ class SimilarSets(NamedTuple):
     n_pairs: int
 
 
-def similar_sets(rows: DataFrame, key: str, token: Column, t: Fraction = DEFAULT_SIMILARITY, left_out: int = LEFT_OUT) -> SimilarSets:
+def similar_sets(rows: DataFrame, key: str, token: Column, t: Fraction = DEFAULT_SIMILARITY, clean: Callable[[Column], Column] | None = None, left_out: int = LEFT_OUT) -> SimilarSets:
     """The sets whose Tanimoto similarity is at least ``t`` (a fraction above 0), exactly, at any ``t``.
 
     A class is all keys with the same set, named by its smallest key; its members are all
     similar to each other. Keys without a token form no class; null tokens and repeats do not count.
+    ``clean`` takes spellings to tokens, as in ``numbered_sets``.
     """
     assert 0 < t <= 1 and 0 <= left_out <= 2
     scratch = Scratch(rows.sparkSession, "sets")
-    all_sets = numbered_sets(tokens(rows, key, token), scratch)
+    all_sets = numbered_sets(tokens(rows, key, token), scratch, clean)
     reps = scratch.save(all_sets.groupBy("s").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).withColumn("n", F.size("s")), "classes")
     # Classes of one need no join back; the others' keys find their class by the set itself, however many copies it has.
     shared = reps.where("copies > 1").select("s", "rep")
@@ -123,9 +125,9 @@ def similar_sets(rows: DataFrame, key: str, token: Column, t: Fraction = DEFAULT
     return SimilarSets(pairs, reps.select("rep", "copies"), members, n["n"])
 
 
-def similar_pairs(rows: DataFrame, key: str, token: Column, t: Fraction = DEFAULT_SIMILARITY) -> DataFrame:
+def similar_pairs(rows: DataFrame, key: str, token: Column, t: Fraction = DEFAULT_SIMILARITY, clean: Callable[[Column], Column] | None = None, left_out: int = LEFT_OUT) -> DataFrame:
     """(mol_i, mol_j, sim) of all keys with mol_i < mol_j and a similarity of at least ``t``, copies included."""
-    found = similar_sets(rows, key, token, t)
+    found = similar_sets(rows, key, token, t, clean, left_out)
     one = found.members.select(F.col("rep").alias("x"), F.col("key").alias("i"))
     two = found.members.select(F.col("rep").alias("y"), F.col("key").alias("j"))
     across = blocked_join(blocked_join(found.pairs, one, "x", found.n_pairs), two, "y").select("i", "j", "sim")
@@ -134,9 +136,9 @@ def similar_pairs(rows: DataFrame, key: str, token: Column, t: Fraction = DEFAUL
     return across.unionByName(same).select(F.least("i", "j").alias("mol_i"), F.greatest("i", "j").alias("mol_j"), "sim")
 
 
-def linked_members(rows: DataFrame, key: str, token: Column, t: Fraction = DEFAULT_SIMILARITY) -> DataFrame:
+def linked_members(rows: DataFrame, key: str, token: Column, t: Fraction = DEFAULT_SIMILARITY, clean: Callable[[Column], Column] | None = None, left_out: int = LEFT_OUT) -> DataFrame:
     """(key, class_id, copies, n_links) of every key with a token: its class and to how many other keys it is similar; no pair of copies is made."""
-    found = similar_sets(rows, key, token, t)
+    found = similar_sets(rows, key, token, t, clean, left_out)
     both = found.pairs.select(F.inline(F.array(F.struct("x", F.col("y").alias("rep")), F.struct(F.col("y").alias("x"), F.col("x").alias("rep")))))
     beside = lookup_join(both, found.classes, "rep", "inner", rows=2 * found.n_pairs).groupBy(F.col("x").alias("rep")).agg(F.sum("copies").alias("n"))
     counted = found.classes.join(beside, "rep", "left").select("rep", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
