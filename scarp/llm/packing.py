@@ -186,7 +186,9 @@ def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", large_share:
         .select("budget_name", key, "capacity", "n_tokens", F.posexplode(F.sequence(F.lit(0).cast("long"), last)).alias("piece_no", "p"))
         .select("budget_name", key, "piece_no", (F.col("p") * F.col("capacity")).alias("start_token"), F.least("capacity", F.col("n_tokens") - F.col("p") * F.col("capacity")).alias("n_tokens"))
     )
-    ranked = scratch.save(salted_rank(pieces, ["budget_name", "n_tokens"], [F.col(key), F.col("piece_no")], "rank", id_cols=[key, "piece_no"]), "ranked")
+    pieces, laid = scratch.save_measured(pieces, "pieces")  # the tokenizer runs once, here
+    ranked = scratch.save(salted_rank(pieces, ["budget_name", "n_tokens"], [F.col(key), F.col("piece_no")], "rank", id_cols=[key, "piece_no"], rows=laid["n"]), "ranked")
+    scratch.forget(pieces)
     counted = ranked.groupBy("budget_name", "n_tokens").agg(F.count("*").alias("n")).collect()  # at most the sum of the capacities
     counts = {b: _histogram([r for r in counted if r.budget_name == b], "n_tokens", c) for b, c in capacities.items()}
 

@@ -15,13 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..skew import lookup_join
+from ..skew import first_k, lookup_join
 from ..store import Scratch
 
 GRAM = 5
 REPEATS = 8
-#: Exponent of the score in the weight: a score twice as good counts 16 times.
-SCORE_POWER = 4.0
+#: Exponent of the score in the weight: a score better by a tenth counts three times.
+SCORE_POWER = 12.0
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -89,12 +89,6 @@ def varied_subset(rows: DataFrame, size: int, key: str = "hit_id", structure: st
     # Exponential clocks: the first `size` to ring are a weighted sample without replacement.
     uniform = (F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
     drawn = cores.join(near, "key").withColumn("density", density).withColumn("clock", -F.log(uniform) / weight)
-    chosen = drawn.orderBy("clock", "key").limit(size)
-    ranked = chosen.select(F.row_number().over(_by_clock()).alias("draw_rank"), "key", "structure", "core", "score", "density")
-    return ranked.select(F.col("key").alias(key), F.col("structure").alias(structure), F.col("core").alias(core), F.col("score").alias(score), "density", "draw_rank")
-
-
-def _by_clock():
-    from pyspark.sql import Window
-
-    return Window.orderBy("clock", "key")  # over the chosen rows only
+    ranked = first_k(scratch.save(drawn.drop("structure", "points", "near", "n_core"), "drawn"), F.col("clock"), ["key"], size, "draw_rank")
+    named = ranked.drop("core", "score").join(best.select("key", "structure", "core", "score"), "key")
+    return named.select(F.col("key").alias(key), F.col("structure").alias(structure), F.col("core").alias(core), F.col("score").alias(score), "density", F.col("draw_rank").cast("int").alias("draw_rank"))

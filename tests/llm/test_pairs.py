@@ -79,6 +79,19 @@ def test_packing_keeps_all_tokens_within_capacity(spark):
     assert sum(r.n for r in boxes) == sum(1 + (i * 37) % 70 for i in range(300)) + 250
 
 
-def test_quotas_meet_the_shares():
-    plan = mixing.quotas({"a": 100, "b": 1000}, {"a": (0.5, 2), "b": (0.5, 1), "c": (0.1, 1)})
-    assert plan["a"][1] == plan["b"][1] == 200
+def test_quotas():
+    targets = {"a": (0.5, 2), "b": (0.5, 1), "c": (0.1, 1)}
+    assert mixing.quotas({"a": 500, "b": 1000}, targets, 600) == {"a": 300, "b": 300}
+    # a gives all it has twice, b what is left of the total
+    assert mixing.quotas({"a": 100, "b": 1000}, targets, 600) == {"a": 200, "b": 400}
+    assert mixing.quotas({"a": 100, "b": 1000}, targets, 9999) == {"a": 200, "b": 1000}
+    assert mixing.quotas({"a": 100, "b": 1000}, targets) == {"a": 200, "b": 900}
+    assert mixing.quotas({}, targets) == {}
+
+
+def test_slots_reach_every_turn(spark):
+    for turns in ({"a": 1, "b": 400}, {"a": 7, "b": 7, "c": 90}, {"a": 1}):
+        shares = {s: k / sum(turns.values()) for s, k in turns.items()}
+        n = mixing.slots_for(turns, shares)
+        counts = {r.source: r.n for r in mixing.schedule(n, sorted(shares.items()), spark.range(n)).groupBy("source").agg(F.count("*").alias("n")).collect()}
+        assert all(counts[s] >= k for s, k in turns.items())
