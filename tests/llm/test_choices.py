@@ -54,7 +54,7 @@ def test_mixture_meets_shares(spark):
     posts = [(i, ("a", "b", "b", "b", "none", None)[i % 6], 20 + i % 50) for i in range(3000)] + [(9000, "a", 0), (9001, "b", None)]
     sizes = spark.createDataFrame(posts, "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1), ("empty", 0.0, 1)], "doc_source string, target_share double, max_repeats int")
-    mixed = mixing.mix(sizes, targets, total=40_000)
+    mixed = mixing.mix(sizes, targets, total=60_000)
     report = {r.doc_source: r for r in mixing.share_report(mixed, targets).collect()}
     assert abs(report["a"].reached_share - 0.5) < 0.001 and report["a"].repeats == 2 and report["b"].repeats == 1 and report["empty"].tokens == 0
     assert mixed.groupBy("doc_id", "repeat_no").count().where("count > 1").count() == 0
