@@ -39,6 +39,19 @@ _STATED_AMOUNT = r"\d+(?:[.,]\d+)?\s?" + _IN_TEXT
 _P_CLAUSE = r"(?i)[^.;]*\bp(?:ic50|ec50|ki|kd|\s+figures?|\s+values?)\b[^.;]*[.;]?"
 
 
+_SPEAKS_OF_P = r"\bp(?:ic50|ec50|ki|kd)?\b"
+_P_UNIT = r"\b(?:(?:femto|pico|nano|micro|milli)?molar|[fpnum]?mol/l|[fpnum]?m)\b"
+#: Sign of a stated p scale: the first pattern found counts. A plain log is negative below 1 mol/L, so it is turned around.
+SCALE_RULES = (
+    (r"\bsign\b.*\b(?:not|never|un)\s?(?:flipped|changed|turned|inverted)", -1),
+    (r"\bminus sign\b|\(negative\)|\bleft negative\b", -1),
+    (r"-\s?(?:log|lg)|\b(?:negative|minus)\s(?:log|lg)", 1),
+    (r"\b(?:lg|log(?:10)?)\b", -1),
+    (r"\b(?:computed|calculated|derived|taken|made) from\b|\brelative to\b|\brefers? to\b|\bbased on\b|\bin terms of\b", 1),
+    (r"\bmolar scale\b|\busual scale\b", 1),
+)
+
+
 def unit_aliases() -> list[tuple[str, str, int]]:
     """(spelling, kind, power of ten to mol/L or g/L), built from the prefix rules."""
     rows: dict[str, tuple[str, int]] = {}
@@ -154,23 +167,28 @@ def convert_potencies(raw: DataFrame, weights: DataFrame, sources: DataFrame, sp
     return molar.unionByName(mass).groupBy("activity_id").agg(F.min_by(F.struct("written", "nm", "pic50", "unit_from"), F.struct("pic50", "written")).alias("r")).select("activity_id", "r.*")
 
 
-def p_scale(text: Column) -> Column:
-    """(factor, offset) that take a written p value to -log10(mol/L), from a remark or note; null if none is stated.
+def p_statement(text: Column) -> Column:
+    """The parts of a remark or note that speak of p values, reduced to small letters and single blanks; null if there is none."""
+    plain = F.regexp_replace(F.lower(F.translate(text, "µμ", "uu")), r"\s+", " ")
+    return F.nullif(F.array_join(F.filter(F.split(plain, r"[.;] "), lambda part: part.rlike(_SPEAKS_OF_P)), " "), F.lit(""))
+
+
+def scale_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *rule) for i, rule in enumerate(SCALE_RULES)], "rule int, pattern string, factor int")
+
 
-    A negative log of c in a unit of 10**e mol/L gives p + (-e); a plain log10 gives -p - e.
+def p_scales(statements: DataFrame, spark: SparkSession) -> DataFrame:
+    """(said, factor, offset) that take a written p value to -log10(mol/L); ``statements`` has one column ``said`` of distinct texts.
+
+    The unit is cut out of the statement and looked up in the alias table, none meaning mol/L; the first rule whose pattern
+    is found gives the sign. For a unit of 10**e mol/L a negative log becomes p - e, a plain one -p - e. Statements that no
+    rule reads give no row.
     """
-    t = F.regexp_replace(F.lower(F.translate(text, "µμ", "uu")), r"\s+", " ")
-    speaks = t.rlike(r"\bp(?:ic50|ec50|ki|kd)?\b(?: figures?| values?| column)?")
-    power = (
-        F.when(t.rlike(r"\b(?:nm|nanomolar|nmol)\b"), -9)
-        .when(t.rlike(r"\b(?:um|micromolar|umol)\b"), -6)
-        .when(t.rlike(r"\b(?:mm|millimolar|mmol)\b"), -3)
-        .otherwise(0)
-    )
-    unflipped = t.rlike(r"sign .*(?:not|never) flipped|with its minus sign|\(negative\)")
-    negative_log = t.rlike(r"-\s?log|negative log|computed from|relative to|refers? to|usual molar scale")
-    sign = F.when(unflipped, -1).when(negative_log, 1).when(t.rlike(r"\b(?:lg|log(?:10)?)\b"), -1)
-    return F.when(speaks & sign.isNotNull(), F.struct(sign.alias("factor"), (-power).alias("offset")))
+    unit = F.nullif(F.regexp_extract("said", _P_UNIT, 0), F.lit(""))
+    keyed = statements.withColumn("unit_key", unit_key(F.coalesce(unit, F.lit("m"))))
+    signs = keyed.join(F.broadcast(scale_rules(spark)), F.rlike(F.col("said"), F.col("pattern"))).groupBy("said", "unit_key").agg(F.min_by("factor", "rule").alias("factor"))
+    powers = alias_table(spark).where("unit_kind = 'molar'")
+    return signs.join(F.broadcast(powers), "unit_key").select("said", "factor", (-F.col("unit_power")).alias("offset"))
 
 
 def usable_p(p: Column) -> Column:
@@ -179,15 +197,19 @@ def usable_p(p: Column) -> Column:
 
 
 def convert_p_values(records: DataFrame, sources: DataFrame) -> DataFrame:
-    """Usable pic50 of ``records`` on the molar scale: (record_id, written, pic50). Repeats give one row."""
-    clause = F.array_join(F.transform(F.filter(F.split("unit_note", "(?<=[.])\\s+"), lambda s: F.lower(s).rlike(r"\bp(?:ic50|ec50|ki|kd| figures?)")), lambda s: F.trim(s)), " ")
-    p_part = F.nullif(F.regexp_extract(clause, r"(?i)\bp(?:ic50|ec50|ki|kd|\s+figures?)\b.*$", 0), F.lit(""))
-    notes = sources.select("source_name", p_scale(p_part).alias("note_scale")).dropDuplicates(["source_name"])
-    scaled = (
-        records.where(usable_p(F.col("pic50")))
-        .select("record_id", "source_name", F.col("pic50").alias("written"), p_scale(F.col("remark")).alias("own_scale"))
-        .join(F.broadcast(notes), "source_name", "left")
-        .withColumn("scale", F.coalesce("own_scale", "note_scale"))
-    )
-    p = F.coalesce(F.col("scale.factor"), F.lit(1)) * F.col("written") + F.coalesce(F.col("scale.offset"), F.lit(0))
-    return scaled.groupBy("record_id").agg(F.min_by(F.struct("written", p.alias("pic50")), F.struct(p, "written")).alias("r")).select("record_id", "r.*")
+    """Usable pic50 of ``records`` on the molar scale: (record_id, written, pic50). Repeats give one row.
+
+    A record's remark counts before the note of its source; without a statement the value is molar. ``sources`` has one row
+    per source and is broadcast; statements are converted once each, however many records carry them.
+    """
+    spark = records.sparkSession
+    notes = sources.select("source_name", p_statement(F.col("unit_note")).alias("noted")).dropDuplicates(["source_name"])
+    told = records.where(usable_p(F.col("pic50"))).select("record_id", "source_name", F.col("pic50").alias("written"), p_statement(F.col("remark")).alias("own"))
+    scratch = Scratch(spark, "scales")
+    told, seen = scratch.save_measured(told, "told")
+    scales = scratch.save(p_scales(told.select(F.col("own").alias("said")).where("said is not null").distinct().unionByName(notes.select(F.col("noted").alias("said")).where("said is not null")).distinct(), spark), "scales")
+    own = lookup_join(told, scales.toDF("own", "own_factor", "own_offset"), "own", rows=seen["n"])
+    noted = F.broadcast(notes.join(scales, notes.noted == scales.said).select("source_name", "factor", "offset"))
+    joined = own.join(noted, "source_name", "left")
+    p = F.coalesce("own_factor", "factor", F.lit(1)) * F.col("written") + F.coalesce("own_offset", "offset", F.lit(0))
+    return joined.groupBy("record_id").agg(F.min_by(F.struct("written", p.alias("pic50")), F.struct(p, "written")).alias("r")).select("record_id", "r.*")

@@ -52,8 +52,13 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     names = [c for c in right.columns if c != key]
     out = [*left.columns, *names]
     is_hot = left.join(few, key, "inner").select(*out)
-    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how).select(*out)
-    return is_hot.unionByName(rest)
+    keyed = left.where(F.col(key).isNotNull())
+    rest = keyed.join(F.broadcast(hot), key, "left_anti").join(right, key, how).select(*out)
+    if how == "inner":
+        return is_hot.unionByName(rest)
+    # Rows without a key need no shuffle, which would send them all to one task.
+    empty = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in names]
+    return is_hot.unionByName(rest).unionByName(left.where(F.col(key).isNull()).select(*left.columns, *empty))
 
 
 def blocked_join(left: DataFrame, right: DataFrame, key: str, rows: int | None = None) -> DataFrame:
