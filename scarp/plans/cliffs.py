@@ -18,6 +18,12 @@ def plain_fragment(fragment: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(fragment), r"\[(?:\d+\*|\*:\d+|\d+\*:\d+)\]", "[*]"), F.lit(""))
 
 
+def attached_fragment(fragment: Column) -> Column:
+    """As ``plain_fragment``, but a fragment without an attachment point is none."""
+    plain = plain_fragment(fragment)
+    return F.when(plain.contains("[*]"), plain)
+
+
 def molecule_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(key, tok): fragments as they are spelled; ``plain_fragment`` takes them to tokens."""
     return S.tokens(table(spark, folder, "fragment_membership"), "mol_id", F.col("fragment"))
@@ -120,6 +126,8 @@ _BASE = (
   d AS (SELECT a, b, sim, abs(x.p - y.p) AS delta FROM s JOIN p x ON x.mol_id = a JOIN p y ON y.mol_id = b),
   k AS (SELECT * FROM d WHERE sim >= 0.8 - 1e-12 AND delta >= 1)"""
 )
+COMPONENTS_SQL = """e AS (SELECT a, b FROM s WHERE sim >= 0.8 - 1e-12 UNION SELECT b, a FROM s WHERE sim >= 0.8 - 1e-12),
+        c AS (SELECT a AS mol_id, a AS g FROM e UNION SELECT e.b, c.g FROM c JOIN e ON e.a = c.mol_id WHERE c.g < e.b)"""
 _ENDS = "(SELECT a AS mol_id FROM k UNION SELECT b FROM k)"
 _SPLIT = "CASE WHEN row_number() OVER (PARTITION BY y ORDER BY {h}, mol_id) <= floor(count(*) OVER (PARTITION BY y) * 0.2) THEN 'test' ELSE 'train' END"
 ORACLE_SQL = {
@@ -132,7 +140,10 @@ ORACLE_SQL = {
         SELECT g.*, (SELECT count(*) FROM e WHERE e.mol_id = g.mol_id) AS n_links FROM g""",
     "similarity_neighbors": f"WITH {_BASE} SELECT mol_id, count(*) AS n_neighbors FROM (SELECT a AS mol_id FROM s WHERE sim >= 0.8 - 1e-12 UNION ALL SELECT b FROM s WHERE sim >= 0.8 - 1e-12) GROUP BY 1",
     "cliff_nodes": f"WITH {_BASE} SELECT mol_id, mol_id IN (SELECT mol_id FROM {_ENDS}) AS in_cliff FROM p",
-    "cliff_components": f"""WITH RECURSIVE {_BASE}, e AS (SELECT a, b FROM s WHERE sim >= 0.8 - 1e-12 UNION SELECT b, a FROM s WHERE sim >= 0.8 - 1e-12),
-        c AS (SELECT a AS mol_id, a AS g FROM e UNION SELECT e.b, c.g FROM c JOIN e ON e.a = c.mol_id WHERE c.g < e.b) SELECT mol_id, min(g) AS group_id FROM c GROUP BY 1""",
+    "cliff_components": f"WITH RECURSIVE {_BASE}, {COMPONENTS_SQL} SELECT mol_id, min(g) AS group_id FROM c GROUP BY 1",
+    "cliff_train_max": f"""WITH {_BASE}, l AS (SELECT mol_id, CAST(p >= 6 AS INT) AS y, mol_id IN (SELECT mol_id FROM {_ENDS}) AS in_cliff FROM p),
+        q AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {_HASH.format(k='mol_id')}, mol_id) AS rn, count(*) OVER (PARTITION BY y) AS n FROM l WHERE NOT in_cliff),
+        f AS (SELECT least(1.0::DOUBLE, floor(count(*) * 0.2) / nullif(count(*) FILTER (WHERE NOT in_cliff), 0)) AS share FROM l)
+        SELECT mol_id, in_cliff, CASE WHEN rn <= floor(n * share) THEN 'test' ELSE 'train' END AS part FROM q, f UNION ALL SELECT mol_id, in_cliff, 'train' FROM l WHERE in_cliff""",
     "stratified_split": f"WITH {_BASE}, l AS (SELECT mol_id, CAST(p >= 6 AS INT) AS y FROM p) SELECT mol_id, y, {_SPLIT.format(h=_HASH.format(k='mol_id'))} AS part FROM l",
 }

@@ -42,6 +42,19 @@ def cliff_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(M.cliff_metrics(_rows(spark, folder), ["model"]))
 
 
+def reliability_error(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(M.reliability_error(_rows(spark, folder), ["model"]))
+
+
+def roc_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """The ROC curve at 50 false positive rates."""
+    return _rounded(M.curve_points(_rows(spark, folder), ["model"]))
+
+
+def bootstrap_auroc(spark: SparkSession, folder: str) -> DataFrame:
+    return M.bootstrap_auroc(_rows(spark, folder), ["model"], "hit_id")
+
+
 def threshold_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(M.threshold_grid(_rows(spark, folder), ["model"], "f1"))
 
@@ -69,7 +82,7 @@ def model_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return M.rank_models(cells).select("model", "composite", "mean", "auroc", "average_precision", "brier")
 
 
-QUERIES = {f.__name__: f for f in (confusion, classification_metrics, ranking_metrics, reliability_bins, ece, cliff_metrics, threshold_grid, probability_histogram, metrics_long, bootstrap_ci, model_ranking)}
+QUERIES = {f.__name__: f for f in (confusion, classification_metrics, ranking_metrics, reliability_bins, ece, cliff_metrics, reliability_error, roc_curve, bootstrap_auroc, threshold_grid, probability_histogram, metrics_long, bootstrap_ci, model_ranking)}
 
 _B = """b AS (SELECT model, CAST(y AS BIGINT) AS y, p, c FROM (SELECT run_no AS model, CASE WHEN NOT isnan(cafe_enrichment) THEN CAST(cafe_enrichment > 2 AS INT) END AS y, round(qsar, 3) AS p, coalesce(cafe_boost > 0.01, false) AS c FROM hits)
     WHERE y IS NOT NULL AND p IS NOT NULL AND NOT isnan(p)),
@@ -84,8 +97,13 @@ ORACLE_SQL = {
         SELECT model, round(sum(neg * (tp - pos / 2)) / nullif(sum(pos) * sum(neg), 0), 6) AS auroc, round(sum(pos * tp / (tp + fp)) / nullif(sum(pos), 0), 6) AS average_precision FROM r GROUP BY 1""",
     "reliability_bins": f"WITH {_B}, {_BINS} SELECT model, bin, n, round(r, 6) AS positive_rate, round(m, 6) AS mean_p FROM g",
     "ece": f"WITH {_B}, {_BINS} SELECT model, round(avg(abs(r - m)), 6) AS ece FROM g GROUP BY 1",
-    "cliff_metrics": f"""WITH {_B}, a AS (SELECT model, sqrt(avg((p - y) ** 2) FILTER (WHERE c)) AS cr, sqrt(avg((p - y) ** 2)) AS r, count(*) FILTER (WHERE c) AS nc, count(*) AS n, count(*) FILTER (WHERE c AND p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE c AND (p >= 0.5) <> (y = 1)) AS wrong FROM b GROUP BY 1)
-        SELECT model, round(cr, 6) AS cliff_rmse, round(cr - r, 6) AS delta_rmse, CASE WHEN nc > 0 THEN round(coalesce(2 * tp / nullif(2 * tp + wrong, 0), 0), 6) END AS cliff_f1, round(nc / n, 6) AS node_share FROM a""",
+    "cliff_metrics": f"""WITH {_B}, a AS (SELECT model, avg((p - y) ** 2) FILTER (WHERE c) AS cb, sqrt(avg((p - y) ** 2)) AS r, count(*) FILTER (WHERE c) AS nc, count(*) AS n, count(*) FILTER (WHERE c AND p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE c AND (p >= 0.5) <> (y = 1)) AS wrong FROM b GROUP BY 1),
+        g AS (SELECT model, avg(abs(r - m)) AS ece FROM (SELECT model, least(greatest(ceil(p * 15) - 1, 0), 14) AS bin, avg(y) AS r, avg(p) AS m FROM b WHERE c GROUP BY 1, 2) GROUP BY 1),
+        s AS (SELECT model, p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM b WHERE c GROUP BY 1, 2), r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM s WINDOW w AS (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), ap AS (SELECT model, sum(pos * tp / (tp + fp)) / nullif(sum(pos), 0) AS ap FROM r GROUP BY 1)
+        SELECT model, round(sqrt(cb), 6) AS cliff_rmse, round(sqrt(cb) - r, 6) AS delta_rmse, CASE WHEN nc > 0 THEN round(coalesce(2 * tp / nullif(2 * tp + wrong, 0), 0), 6) END AS cliff_f1, round(nc / n, 6) AS node_share, round(cb, 6) AS cliff_brier, round(ece, 6) AS cliff_ece, round(ap, 6) AS cliff_average_precision FROM a LEFT JOIN g USING (model) LEFT JOIN ap USING (model)""",
+    "reliability_error": f"WITH {_B} SELECT model, CAST(floor(p * 10) AS INT) AS bin, count(*) AS n, round(avg(CASE WHEN (p >= 0.5) <> (y = 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS error FROM b WHERE p >= 0 AND p < 1 GROUP BY 1, 2",
+    "roc_curve": f"""WITH {_B}, s AS (SELECT model, p, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM b GROUP BY 1, 2), r AS (SELECT model, sum(pos) OVER w / sum(pos) OVER v AS tpr, sum(neg) OVER w / sum(neg) OVER v AS fpr FROM s WINDOW w AS (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY model)),
+        g AS (SELECT model, i FROM (SELECT model FROM b GROUP BY 1 HAVING count(DISTINCT y) = 2), range(50) AS x(i)) SELECT g.model, round(i / 49, 6) AS fpr, round(coalesce(max(tpr), 0), 6) AS tpr FROM g LEFT JOIN r ON r.model = g.model AND r.fpr * 49 <= i + 1e-9 GROUP BY g.model, i""",
     "threshold_grid": f"""WITH {_B}, g AS (SELECT model, t, count(*) FILTER (WHERE p >= t / 100 - 1e-9 AND y = 1) AS tp, count(*) FILTER (WHERE (p >= t / 100 - 1e-9) <> (y = 1)) AS wrong FROM b, range(1, 100) AS r(t) GROUP BY 1, 2),
         v AS (SELECT model, t, coalesce(2 * tp / nullif(2 * tp + wrong, 0), 0) AS f1 FROM g)
         SELECT model, threshold, round(f1, 6) AS f1 FROM (SELECT model, t / 100 AS threshold, f1, row_number() OVER (PARTITION BY model ORDER BY round(f1, 12) DESC, t) AS rn FROM v) WHERE rn = 1""",
