@@ -36,8 +36,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(F.array(F.struct(F.col("u").alias("v"), F.col("w")), F.struct(F.col("w").alias("v"), F.col("u").alias("w")))))
 
 
-def _strip(edges: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Remove an independent set of vertices of degree one and two: (removed v, parent; edges left)."""
+def _strip(edges: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Remove an independent set of vertices of degree one and two: (removed v, parent; edges left; how many)."""
     degree = _both_ways(edges).groupBy("v").agg(F.count("*").alias("n"), F.min("w").alias("w1"), F.max("w").alias("w2")).where("n <= 2")
     own = F.struct(F.col("v").alias("x"), _draw(F.col("v"), turn).alias("mine"), F.lit(None).cast("struct<p:bigint,x:bigint>").alias("theirs"), "w1", "w2", "n")
     note = lambda w: F.struct(F.col(w).alias("x"), F.lit(None).cast("struct<p:bigint,x:bigint>").alias("mine"), _draw(F.col("v"), turn).alias("theirs"), F.lit(None).cast("bigint").alias("w1"), F.lit(None).cast("bigint").alias("w2"), F.lit(None).cast("bigint").alias("n"))
@@ -48,19 +48,28 @@ def _strip(edges: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, Da
     cuts = gone.select(F.inline(F.array(pair("v", "w1", 1), pair("v", "w2", 1))))
     spliced = gone.where("n = 2").select(F.inline(F.array(pair("w1", "w2", 0))))
     left = edges.withColumn("cut", F.lit(0)).unionByName(cuts).unionByName(spliced).groupBy("u", "w").agg(F.max("cut").alias("cut")).where("cut = 0").select("u", "w")
-    return gone.select("v", F.col("w1").alias("parent")), scratch.save(left, f"edges{turn}")
+    rest, found = scratch.save_measured(left, f"edges{turn}")
+    return gone.select("v", F.col("w1").alias("parent")), rest, found["n"]
 
 
-def _contract(edges: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Merge each vertex into its best neighbour where that is a local maximum: (merged v, parent; edges left)."""
-    best = scratch.save(_both_ways(edges).groupBy("v").agg(F.max(_draw(F.col("w"), turn)).alias("best")).select("v", F.col("best.x").alias("parent"), (_draw(F.col("v"), turn) > F.col("best")).alias("top")), f"best{turn}")
+def _contract(edges: DataFrame, n: int, turn: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Merge each vertex into its best neighbour where that is a local maximum: (merged v, parent; edges left; how many).
+
+    No vertex is looked up more often than the highest degree, so without a hub no lookup needs to search for hot keys.
+    """
+    best = _both_ways(edges).groupBy("v").agg(F.max(_draw(F.col("w"), turn)).alias("best"), F.count("*").alias("degree"))
+    best, seen = scratch.save_measured(best.select("v", F.col("best.x").alias("parent"), (_draw(F.col("v"), turn) > F.col("best")).alias("top"), "degree"), f"best{turn}", most=F.max("degree"))
     tops = best.where("top").select(F.col("v").alias("parent"))
-    merged = scratch.save(lookup_join(best.where("not top").select("v", "parent"), tops, "parent", "inner").select("v", "parent"), f"merge{turn}")
+    merged = scratch.save(lookup_join(best.where("not top").select("v", "parent"), tops, "parent", "inner", rows=seen["n"], most=seen["most"]).select("v", "parent"), f"merge{turn}")
     for end in ("u", "w"):
-        moved = lookup_join(edges, merged.select(F.col("v").alias(end), F.col("parent").alias("to")), end)
-        edges = scratch.save(moved.withColumn(end, F.coalesce("to", end)).drop("to"), f"move-{end}{turn}")
+        moved = lookup_join(edges, merged.select(F.col("v").alias(end), F.col("parent").alias("to")), end, rows=n, most=seen["most"])
+        edges = moved.withColumn(end, F.coalesce("to", end)).drop("to")
+        if end == "u":
+            edges = scratch.save(edges, f"move{turn}")
     left = edges.where("u <> w").select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
-    return merged, scratch.save(left, f"edges{turn}")
+    rest, found = scratch.save_measured(left, f"edges{turn}")
+    scratch.forget(best)
+    return merged, rest, found["n"]
 
 
 def vertex_labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -69,20 +78,19 @@ def vertex_labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
     ``edges`` has distinct rows (u, w) of bigint with u < w. Vertices that are missing
     from the result are labels themselves (of their group, or of themselves alone).
     """
-    edges = scratch.save(edges, "edges")
+    edges, seen = scratch.save_measured(edges, "edges")
     removed: list[DataFrame] = []
-    turn, n = 0, edges.count()
+    turn, n = 0, seen["n"]
     while n:
         turn += 1
-        gone, rest = _strip(edges, turn, scratch)
-        left = rest.count()
+        gone, rest, left = _strip(edges, turn, scratch)
         removed.append(gone)
         if left and left > (1 - STRIP_SHARE) * n:
             turn += 1
-            gone, core = _contract(rest, turn, scratch)
+            gone, core, kept = _contract(rest, left, turn, scratch)
             removed.append(gone)
             scratch.forget(rest)
-            rest, left = core, core.count()
+            rest, left = core, kept
         scratch.forget(edges)
         edges, n = rest, left
     if not removed:
@@ -90,9 +98,9 @@ def vertex_labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
     up = removed[0]
     for more in removed[1:]:
         up = up.unionByName(more)
-    up = scratch.save(up.select("v", F.col("parent").alias("label")), "up")
+    up, seen = scratch.save_measured(up.select("v", F.col("parent").alias("label")), "up")
     for step in range(math.ceil(math.log2(len(removed) + 1))):
-        onward = lookup_join(up, up.select(F.col("v").alias("label"), F.col("label").alias("further")), "label")
+        onward = lookup_join(up, up.select(F.col("v").alias("label"), F.col("label").alias("further")), "label", rows=seen["n"])
         doubled = scratch.save(onward.select("v", F.coalesce("further", "label").alias("label")), f"up{step}")
         scratch.forget(up)
         up = doubled
