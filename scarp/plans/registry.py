@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import candidates, cliffs, evaluation, fragments, metrics, modelling, packed, preparation
+from . import candidates, cliffs, evaluation, features, fragments, metrics, modelling, packed, preparation
 
-MODULES = (packed, preparation, cliffs, fragments, metrics, candidates, modelling, evaluation)
+MODULES = (packed, preparation, cliffs, fragments, metrics, candidates, modelling, evaluation, features)
 
 
 def queries() -> dict:

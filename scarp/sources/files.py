@@ -2,21 +2,82 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import preparation as P
 
 # Columns of an own-compound file and other spellings of their headers.
 OWN_SCHEMA = "ID string, SMILES string, activity_flag string, standard_value string, standard_units string"
+#: Column that holds a line which does not fit the schema.
+BAD = "__bad_line"
 ALIASES = {"chembl_id": "ID", "canonical_smiles": "SMILES", "smiles": "SMILES", "id": "ID", "value": "standard_value", "units": "standard_units", "flag": "activity_flag"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """A delimited file with a header and a given schema; malformed lines are dropped, quotes are doubled inside."""
-    return spark.read.schema(schema).option("header", True).option("sep", sep).option("escape", '"').option("mode", "DROPMALFORMED").csv(path)
+    """A delimited file with a header and a given schema, quotes doubled inside; lines that do not fit are left to ``read_rejects``."""
+    rows = _permissive(spark, path, schema, sep)
+    return rows.where(F.col(BAD).isNull() | (_parsed(rows) < 0)).drop(BAD)
+
+
+def read_rejects(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
+    """(line): the lines of a delimited file that ``read_csv`` leaves out, so that none is lost unseen."""
+    rows = _permissive(spark, path, schema, sep)
+    return rows.where(F.col(BAD).isNotNull() & (_parsed(rows) >= 0)).select(F.col(BAD).alias("line"))
+
+
+def _parsed(rows: DataFrame) -> Column:
+    """The number of columns, as an expression that needs them all: a line is only known to be bad once all of it is parsed."""
+    return F.size(F.array(*[F.col(c).cast("string") for c in rows.columns]))
+
+
+def _permissive(spark: SparkSession, path: str, schema: str, sep: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, `{BAD}` string").option("header", True).option("sep", sep).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).csv(path)
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of the paths that is there, in the order given."""
+    for path in paths:
+        try:
+            spark.read.format("binaryFile").load(path)
+        except AnalysisException:
+            continue
+        return path
+    return None
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A small configuration file: JSON, or YAML where its reader is installed."""
+    text = "\n".join(r.value for r in spark.read.text(path).collect())  # one small file
+    try:
+        return json.loads(text)
+    except ValueError:
+        import yaml
+
+        return yaml.safe_load(text)
+
+
+def best_model(spark: SparkSession, path: str, field: str = "best_model") -> str | None:
+    """The best model that a summary file (one JSON object) names."""
+    row = spark.read.option("multiLine", True).json(path).limit(1)
+    return row.first()[field] if field in row.columns and not row.isEmpty() else None
+
+
+def read_key_values(spark: SparkSession, path: str, sep: str = ":") -> DataFrame:
+    """(key, value) of lines such as ``Backbone: ecfp``; other lines give no row."""
+    at = F.instr("value", sep)
+    return spark.read.text(path).where(at > 1).select(F.trim(F.expr(f"substring(value, 1, instr(value, '{sep}') - 1)")).alias("key"), F.trim(F.expr(f"substring(value, instr(value, '{sep}') + {len(sep)})")).alias("value"))
+
+
+def read_tagged(spark: SparkSession, paths: dict[str, str], schema: str, tag: str = "origin") -> DataFrame:
+    """Several files of one schema under each other, with the name of each as a column."""
+    parts = [read_csv(spark, path, schema).withColumn(tag, F.lit(name)) for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_own_compounds(spark: SparkSession, path: str) -> DataFrame:
@@ -56,6 +117,25 @@ def write_rounded(df: DataFrame, path: str, digits: int = 3) -> None:
     df.select(*text).write.option("header", True).mode("overwrite").csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object per line; nulls are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    df.select(F.col(column).cast("string").alias("value")).where("value is not null").write.mode("overwrite").text(path)
+
+
+def write_library(df: DataFrame, column: str, path: str) -> None:
+    """The distinct values of a column as CSV, sorted over all files (a file per range, not one task)."""
+    df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).write.option("header", True).mode("overwrite").csv(path)
+
+
+def report_lines(ranked: DataFrame) -> DataFrame:
+    """(value): a row per line as ``name: value`` pairs, for a text report."""
+    return ranked.select(F.concat_ws("; ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("N/A"))) for c in ranked.columns]).alias("value"))
+
+
 def tagged_fragments(fragments, added):
     """An array column as ``a; b (AC)``: those in the array ``added`` are marked."""
     return F.array_join(F.transform(fragments, lambda f: F.when(F.array_contains(added, f), F.concat(f, F.lit(" (AC)"))).otherwise(f)), "; ")
@@ -63,7 +143,6 @@ def tagged_fragments(fragments, added):
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``; built and written first if no complete one is there."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if first_existing(spark, [f"{path.rstrip('/')}/_SUCCESS"]) is None:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
