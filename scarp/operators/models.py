@@ -8,6 +8,7 @@ one task. What reaches the driver is a model, whose size depends on the number o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -61,6 +62,16 @@ def _estimator(kind: str, seed: int):
     raise ValueError(f"unknown kind of model: {kind}")
 
 
+#: Fits that run side by side; each is many small jobs.
+AT_ONCE = 8
+
+
+def side_by_side(jobs: list) -> list:
+    """The results of argument-free functions, in order; they share the executors as concurrent jobs."""
+    with ThreadPool(min(AT_ONCE, max(1, len(jobs)))) as pool:
+        return pool.map(lambda job: job(), jobs)
+
+
 def fit(kind: str, train: DataFrame, seed: int = 0):
     """A fitted model of one of KINDS, or None if the rows do not have both labels. Balanced: classes weigh the same."""
     n = {r.y: r["count"] for r in train.where("y in (0, 1)").groupBy("y").count().collect()}  # two rows
@@ -87,7 +98,7 @@ def _union(frames: list[DataFrame]) -> DataFrame | None:
 def evaluate(rows: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     """(model, key, y, p) of the rows whose ``part`` is ``test``, by models fitted on ``train``; none without both labels."""
     train = Scratch(rows.sparkSession, "evaluate").save(rows.where("part = 'train'").select("key", "y", "features"), "train")
-    models = [(kind, fit(kind, train)) for kind in kinds]
+    models = list(zip(kinds, side_by_side([lambda kind=kind: fit(kind, train) for kind in kinds])))
     test = rows.where("part = 'test'")
     told = _union([probability(m, test).withColumn("model", F.lit(kind)) for kind, m in models if m])
     return told.select("model", "key", "y", "p") if told is not None else _nothing(rows, "model string")
@@ -105,14 +116,15 @@ def folds(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def cross_validated(rows: DataFrame, kind: str, k: int = 5, seed: int = 0, repeats: int = 1) -> DataFrame:
     """(fold, key, y, p): every row scored by the model that did not see its fold; fold ``r * k + i`` is the i-th of repeat r."""
-    parts = []
-    for turn in range(repeats):
-        cut = Scratch(rows.sparkSession, "folds").save(folds(rows.select("key", "y", "features"), k, seed + turn), "folds")
-        for fold in range(k):
-            model = fit(kind, cut.where(F.col("fold") != fold), seed + turn)
-            if model:
-                parts.append(probability(model, cut.where(F.col("fold") == fold)).withColumn("fold", F.lit(turn * k + fold)))
-    told = _union(parts)
+    slim = rows.select("key", "y", "features")
+    cuts = side_by_side([lambda turn=turn: Scratch(rows.sparkSession, "folds").save(folds(slim, k, seed + turn), "folds") for turn in range(repeats)])
+
+    def held_out(turn: int, fold: int) -> DataFrame | None:
+        model = fit(kind, cuts[turn].where(F.col("fold") != fold), seed + turn)
+        return probability(model, cuts[turn].where(F.col("fold") == fold)).withColumn("fold", F.lit(turn * k + fold)) if model else None
+
+    parts = side_by_side([lambda turn=turn, fold=fold: held_out(turn, fold) for turn in range(repeats) for fold in range(k)])
+    told = _union([p for p in parts if p is not None])
     return told.select("fold", "key", "y", "p") if told is not None else _nothing(rows, "fold int")
 
 
@@ -127,13 +139,13 @@ def permuted(rows: DataFrame, column: str, seed: int) -> DataFrame:
 def scrambled(rows: DataFrame, kind: str, rounds: int = 5) -> DataFrame:
     """(round, key, y, p): labels permuted, a model fitted to them and asked about the same rows; the level of chance."""
     slim = rows.select("key", "y", "features")
-    parts = []
-    for turn in range(rounds):
+
+    def chance(turn: int) -> DataFrame | None:
         mixed = Scratch(rows.sparkSession, "scramble").save(permuted(slim, "y", turn), f"round{turn}")
         model = fit(kind, mixed, turn)
-        if model:
-            parts.append(probability(model, mixed).withColumn("round", F.lit(turn)))
-    told = _union(parts)
+        return probability(model, mixed).withColumn("round", F.lit(turn)) if model else None
+
+    told = _union([p for p in side_by_side([lambda turn=turn: chance(turn) for turn in range(rounds)]) if p is not None])
     return told.select("round", "key", "y", "p") if told is not None else _nothing(rows, "round int")
 
 

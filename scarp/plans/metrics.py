@@ -1,4 +1,7 @@
-"""Evaluation of scored rows: in hits, qsar is the score, a positive enrichment the label and run_no the model."""
+"""Metrics of scored rows: in hits, the probability and the aggregate score stand for two models and a high enrichment for the label.
+
+The chain with real labels, cliffs and repeats is in ``evaluation``; these tables have more rows and need no joins.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,8 @@ from ..tables import table
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("cafe_enrichment").isNotNull() & ~F.isnan("cafe_enrichment"), (F.col("cafe_enrichment") > 2).cast("int"))
-    return table(spark, folder, "hits").select("hit_id", F.col("run_no").alias("model"), label.alias("y"), F.round("qsar", 3).alias("p"), (F.col("cafe_boost") > 0.01).alias("in_cliff"))
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.round(c, 3).alias("p")) for c in ("qsar", "score")])).alias("m")
+    return table(spark, folder, "hits").select("hit_id", label.alias("y"), (F.col("cafe_boost") > 0.01).alias("in_cliff"), both).select("hit_id", "m.model", "y", "m.p", "in_cliff")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def model_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (confusion, classification_metrics, ranking_metrics, reliability_bins, ece, cliff_metrics, reliability_error, roc_curve, bootstrap_auroc, threshold_grid, probability_histogram, metrics_long, bootstrap_ci, model_ranking)}
 
-_B = """b AS (SELECT model, CAST(y AS BIGINT) AS y, p, c FROM (SELECT run_no AS model, CASE WHEN NOT isnan(cafe_enrichment) THEN CAST(cafe_enrichment > 2 AS INT) END AS y, round(qsar, 3) AS p, coalesce(cafe_boost > 0.01, false) AS c FROM hits)
+_B = """b AS (SELECT model, CAST(y AS BIGINT) AS y, p, c FROM (SELECT model, CASE WHEN NOT isnan(cafe_enrichment) THEN CAST(cafe_enrichment > 2 AS INT) END AS y, round(p, 3) AS p, coalesce(cafe_boost > 0.01, false) AS c FROM (SELECT *, 'qsar' AS model, qsar AS p FROM hits UNION ALL SELECT *, 'score', score FROM hits))
     WHERE y IS NOT NULL AND p IS NOT NULL AND NOT isnan(p)),
   k AS (SELECT model, count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.5 AND y = 0) AS fp, count(*) FILTER (WHERE p < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE p < 0.5 AND y = 0) AS tn, avg((p - y) ** 2) AS brier FROM b GROUP BY 1)"""
 _CLASS = """SELECT model, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,

@@ -40,10 +40,8 @@ def model_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark, "told")
     groups = scratch.save(labelled_groups(spark, folder).select("key", "group_id"), "groups")
     rows = scratch.save(_labelled_features(spark, folder).join(groups, "key"), "rows")
-    parts = []
-    for turn in range(REPEATS):
-        cut = scratch.save(splits.grouped(rows, "key", "y", "group_id", 0.2, seed=turn), "cut")
-        parts.append(scratch.save(models.evaluate(cut).withColumn("repeat", F.lit(turn)), "told"))
+    cuts = models.side_by_side([lambda turn=turn: scratch.save(splits.grouped(rows, "key", "y", "group_id", 0.2, seed=turn), f"cut{turn}") for turn in range(REPEATS)])
+    parts = models.side_by_side([lambda turn=turn: scratch.save(models.evaluate(cuts[turn]).withColumn("repeat", F.lit(turn)), f"told{turn}") for turn in range(REPEATS)])
     told = reduce(DataFrame.unionByName, parts)
     by, names = ["model", "repeat"], ("auroc", "average_precision", "f1", "mcc", "brier")
     return M.classification(told, by).join(M.ranking(told, by), by).groupBy("model").agg(*[F.round(F.avg(c), 6).alias(c) for c in names])

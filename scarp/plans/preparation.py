@@ -31,9 +31,12 @@ def tautomer_pick(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def union_custom(spark: SparkSession, folder: str) -> DataFrame:
-    """Cleaned compounds and own records, one under the other."""
+    """Cleaned compounds and, under them, own ones: measured compounds that the registry does not know, in nM or micromolar."""
     clean = clean_compounds(spark, folder).select(F.concat(F.lit("MOL_"), F.col("mol_id").cast("string")).alias("id"), "nm", "pic50")
-    own = table(spark, folder, "removed_compounds").select(P.own_id(F.col("record_id").cast("string")).alias("id"), P.micromolar_to_nm(F.col("standard_value"), F.lit(None).cast("string")).alias("nm")).where("nm > 0 and not isnan(nm)")
+    known = table(spark, folder, "chemical_space").select("chembl_id").where("chembl_id is not null").distinct()
+    raw = table(spark, folder, "raw_activities").where(F.upper(F.trim("standard_type")) == "IC50").select("activity_id", "chembl_id", "standard_value", "standard_units").dropDuplicates(["activity_id"])
+    strange = raw.where("chembl_id is not null").join(known, "chembl_id", "left_anti").unionByName(raw.where("chembl_id is null"))
+    own = strange.select(P.own_id(F.col("activity_id").cast("string")).alias("id"), P.micromolar_to_nm(P.number(F.col("standard_value")), F.col("standard_units")).alias("nm")).where("nm > 0")
     return clean.unionByName(own.select("id", F.round("nm", 6).alias("nm"), F.round(P.pic50(F.col("nm")), 6).alias("pic50")))
 
 
@@ -70,7 +73,10 @@ ORACLE_SQL = {
     "tautomer_pick": """SELECT structure, record_id FROM (SELECT trim(canonical_smiles) AS structure, record_id,
         row_number() OVER (PARTITION BY trim(canonical_smiles) ORDER BY CASE WHEN lower(trim(coalesce(activity_flag, ''))) = 'active' THEN 0 ELSE 1 END, CASE WHEN isnan(standard_value) THEN NULL ELSE standard_value END ASC NULLS LAST, record_id) AS rn
         FROM removed_compounds WHERE trim(canonical_smiles) <> '') WHERE rn = 1""",
-    "union_custom": f"SELECT 'MOL_' || mol_id AS id, nm, pic50 FROM ({_CLEAN}) UNION ALL SELECT 'OWN_' || record_id, round(standard_value, 6), round(-log10(standard_value * 1e-9), 6) FROM removed_compounds WHERE standard_value > 0 AND NOT isnan(standard_value)",
+    "union_custom": rf"""SELECT 'MOL_' || mol_id AS id, nm, pic50 FROM ({_CLEAN}) UNION ALL SELECT 'OWN_' || activity_id, round(nm, 6), round(-log10(nm * 1e-9), 6) FROM (
+        SELECT activity_id, v * CASE WHEN lower(trim(standard_units)) IN ({', '.join(f"'{u}'" for u in P.MICROMOLAR)}) THEN 1000 ELSE 1 END AS nm FROM (
+          SELECT DISTINCT activity_id, chembl_id, standard_units, TRY_CAST(nullif(regexp_extract(standard_value, '^\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*$', 1), '') AS DOUBLE) AS v FROM raw_activities WHERE upper(trim(standard_type)) = 'IC50')
+        WHERE chembl_id IS NULL OR chembl_id NOT IN (SELECT chembl_id FROM chemical_space WHERE chembl_id IS NOT NULL)) WHERE nm > 0""",
     "removed_antijoin": f"SELECT mol_id, canonical_smiles FROM chemical_space WHERE mol_id NOT IN (SELECT mol_id FROM {SQL_BOTH} WHERE compound_key IN (SELECT {SQL_KEY} FROM removed_compounds))",
     "dataset_validation": """SELECT n_rows, n_structures, n_responses, round(r, 6) AS active_ratio, coalesce(r BETWEEN 0.05 AND 0.95, false) AS is_balanced, coalesce(r > 0 AND r < 1, false) AS has_two_classes FROM (
         SELECT count(*) AS n_rows, count(*) FILTER (WHERE trim(canonical_smiles) <> '') AS n_structures, count(p) AS n_responses, avg(CASE WHEN p >= 5 THEN 1.0 WHEN p IS NOT NULL THEN 0.0 END) AS r

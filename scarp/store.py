@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 import warnings
 
@@ -64,12 +65,14 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         self.tables: list[tuple[DataFrame, str]] = []
+        self.lock = threading.Lock()
         _FOLDERS.add(self.folder)
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         """Write ``df`` and return it as a plain scan of what was written."""
-        self.count += 1
-        path = f"{self.folder}/{self.count:03d}-{tag}"
+        with self.lock:  # rounds may be written side by side
+            self.count += 1
+            path = f"{self.folder}/{self.count:03d}-{tag}"
         df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((saved, path))
