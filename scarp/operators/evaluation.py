@@ -13,17 +13,11 @@ from pyspark.sql import functions as F
 from ..skew import lookup_join, ordered_running
 from ..store import Scratch
 from . import metrics as M
-from .splits import draw
+from .splits import draw, in_test
 
 #: Repeats, draws of a split of which the best is taken, how far its share of actives may be off, test and validation shares.
 REPEATS, TRIALS, TOLERANCE, TEST_SHARE, VALID_SHARE = 10, 256, 0.02, 0.2, 0.2
 MODELS = ("bayes", "rates")
-_MODULUS = 1_000_003
-
-
-def in_test(group: Column, trial: Column, share: float = TEST_SHARE) -> Column:
-    """Whether a trial puts a group into the test part."""
-    return F.pmod(group * 7919 + (104_729 + 15_485_863 * trial), F.lit(_MODULUS)) < int(share * _MODULUS)
 
 
 def repeated_splits(rows: DataFrame, repeats: int = REPEATS, trials: int = TRIALS) -> DataFrame:
@@ -34,7 +28,7 @@ def repeated_splits(rows: DataFrame, repeats: int = REPEATS, trials: int = TRIAL
     """
     scratch = Scratch(rows.sparkSession, "splits")
     sums = rows.groupBy("group_id").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
-    turns = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(repeats * trials - 1).cast("long")), lambda t: in_test(F.col("group_id"), t))
+    turns = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(repeats * trials - 1).cast("long")), lambda t: in_test(F.col("group_id"), t, TEST_SHARE))
     base = rows.agg(F.avg("y").alias("m")).first().m or 0.0
     drawn = sums.select("y", "n", F.explode(turns).alias("trial")).groupBy("trial").agg(F.round(F.abs(F.sum("y") / F.sum("n") - F.lit(base)), 9).alias("off"))
     order = F.struct(F.when(F.col("off") <= TOLERANCE, 0.0).otherwise(F.col("off")), "trial")
@@ -43,7 +37,7 @@ def repeated_splits(rows: DataFrame, repeats: int = REPEATS, trials: int = TRIAL
     told = dict(chosen)
     of = F.create_map(*[x for r in range(repeats) for x in (F.lit(r).cast("long"), F.lit(told.get(r, r * trials)).cast("long"))])
     laid = rows.select("key", "y", "group_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))).alias("repeat"))
-    laid = laid.select("repeat", "key", "y", in_test(F.col("group_id"), of[F.col("repeat")]).alias("tested"))
+    laid = laid.select("repeat", "key", "y", in_test(F.col("group_id"), of[F.col("repeat")], TEST_SHARE).alias("tested"))
     rest = ordered_running(laid.where("not tested").withColumn("h", draw(F.col("key") + F.col("repeat") * 101)), ["repeat", "y"], [F.col("h"), F.col("key")], {})
     sizes = laid.where("not tested").groupBy("repeat", "y").agg(F.floor(F.count("*") * VALID_SHARE).alias("n_valid"))
     parts = rest.join(F.broadcast(sizes), ["repeat", "y"]).select("repeat", "key", "y", F.when(F.col("rn") <= F.col("n_valid"), "valid").otherwise("fit").alias("part"))  # sizes: two rows a repeat

@@ -13,6 +13,11 @@ def draw(key: Column, seed: int = 0) -> Column:
     return F.pmod(key * 7919 + (104_729 + 15_485_863 * seed), F.lit(1_000_003))
 
 
+def in_test(group: Column, trial: Column, share: float) -> Column:
+    """Whether a draw puts a group into the test part; portable like ``draw``."""
+    return F.pmod(group * 7919 + (104_729 + 15_485_863 * trial), F.lit(1_000_003)) < int(share * 1_000_003)
+
+
 def stratified(rows: DataFrame, key: str, label: str, share: float, seed: int = 0) -> DataFrame:
     """Adds ``part``: the first floor(n * share) keys of each label, in drawn order, are ``test``."""
     drawn = rows.withColumn("__h", draw(F.col(key), seed))
@@ -35,11 +40,10 @@ def grouped(rows: DataFrame, key: str, label: str, group: str, share: float, tri
     ``tolerance`` of the whole, or else the closest, is taken; ``share`` is a share of groups. Each
     ``seed`` has draws of its own."""
     sums = rows.groupBy(group).agg(F.sum(label).alias("y"), F.count("*").alias("n"))
-    in_test = lambda value: F.pmod(value, F.lit(1_000_000)) < int(share * 1e6)
-    turns = F.filter(F.sequence(F.lit(seed * trials), F.lit((seed + 1) * trials - 1)), lambda t: in_test(F.xxhash64(F.col(group), t)))
+    turns = F.filter(F.sequence(F.lit(seed * trials).cast("long"), F.lit((seed + 1) * trials - 1).cast("long")), lambda t: in_test(F.col(group), t, share))
     drawn = sums.select("y", "n", F.explode(turns).alias("trial"))
     base = rows.agg(F.avg(label).alias("m")).first().m
-    means = drawn.groupBy("trial").agg((F.sum("y") / F.sum("n")).alias("m")).withColumn("off", F.abs(F.col("m") - F.lit(base)))
+    means = drawn.groupBy("trial").agg((F.sum("y") / F.sum("n")).alias("m")).withColumn("off", F.round(F.abs(F.col("m") - F.lit(base)), 9))
     best = means.orderBy(F.when(F.col("off") <= tolerance, 0.0).otherwise(F.col("off")), "trial").first()  # one row per trial
     trial = best.trial if best else seed * trials
-    return rows.withColumn("part", F.when(in_test(F.xxhash64(F.col(group), F.lit(trial))), "test").otherwise("train"))
+    return rows.withColumn("part", F.when(in_test(F.col(group), F.lit(trial).cast("long"), share), "test").otherwise("train"))
