@@ -10,6 +10,6 @@ sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).res
 def spark():
     from scarp.session import local_session
 
-    session = local_session(4, app="scarp-tests", **{"spark.sql.shuffle.partitions": "4", "scarp.hotRows": "1", "scarp.chunkRows": "20"})
+    session = local_session(4, app="scarp-tests", **{"spark.sql.shuffle.partitions": "3", "scarp.hotRows": "1", "scarp.chunkRows": "20"})
     yield session
     session.stop()
