@@ -12,20 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Texts that stand for a missing identifier.
-NO_ID = ("", "nan", "none", "null", "n/a", "na", "-", "?")
+from ..operators.preparation import compound_id, compound_key, stripped
+
 #: Readings at or beyond this are stand-ins (-999, 99.99), not pIC50 values on any scale.
 STAND_IN_LIMIT = 50.0
 
 FIELDS = ("activity_flag", "standard_value", "pic50")
 
 
-def compound_id(written: Column) -> Column:
-    """``CHEMBL`` plus digits without leading zeros, however written; null if there is none."""
-    digits = F.regexp_extract(F.upper(written), r"^\s*CHEMBL[\s_:#-]*0*([1-9]\d*)\s*$", 1)
-    return F.when(digits != "", F.concat(F.lit("CHEMBL"), digits))
-
-
 def flag_class(written: Column) -> Column:
     """1 for active, 0 for inactive in any spelling, null for everything else."""
     t = F.regexp_replace(F.lower(F.trim(written)), r"[\s._-]+", "")
@@ -46,20 +40,20 @@ def _order() -> list[Column]:
 
 def _trusted(records: DataFrame, sources: DataFrame) -> DataFrame:
     """Records with the trust rank of their source (one row per source, so it is broadcast)."""
+    # The list of sources is fixed by those who curate the records; it does not grow with them.
     trust = sources.groupBy("source_name").agg(F.min("trust_rank").alias("trust_rank"))
     return records.join(F.broadcast(trust), "source_name", "left")
 
 
 def _raw_key() -> Column:
     """The compound as far as the record itself says: its identifier, else its structure."""
-    smiles = F.nullif(F.regexp_replace("canonical_smiles", r"^\s+|\s+$", ""), F.lit(""))
-    return F.coalesce(compound_id(F.col("chembl_id")), F.concat(F.lit("="), smiles))
+    return compound_key(F.col("chembl_id"), F.col("canonical_smiles"))
 
 
 def _compounds(keyed: DataFrame, space: DataFrame) -> DataFrame:
     """Replace structure keys by the identifier that the registry gives; one row per key and field comes in, so no key is hot."""
     registry = (
-        space.select(F.concat(F.lit("="), F.regexp_replace("canonical_smiles", r"^\s+|\s+$", "")).alias("raw_key"), compound_id(F.col("chembl_id")).alias("found"))
+        space.select(F.concat(F.lit("="), stripped(F.col("canonical_smiles"))).alias("raw_key"), compound_id(F.col("chembl_id")).alias("found"))
         .where("found is not null")
         .groupBy("raw_key")
         .agg(F.min("found").alias("found"))
