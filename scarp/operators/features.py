@@ -125,7 +125,7 @@ def top_k_for(n: int, d: int) -> int:
 def shadow_selection(rows: DataFrame, columns: Sequence[str], rounds: int = 10, confidence: float = 0.05, trees: int = 50) -> DataFrame:
     """(column, hits, is_kept): columns that matter more than the best of all permuted copies of columns, more often than chance.
 
-    ``rows``: key, y, columns. Each round deals every column anew (a join of two hash orders by rank), fits a forest on both halves,
+    ``rows``: key, y, columns. Each round deals the rows' values anew (a join of two hash orders by rank), fits a forest on both halves,
     and counts a hit for each column above the most important shadow. Kept are those whose hits are unlikely (binomial, one half).
     """
     scratch = Scratch(rows.sparkSession, "shadows")
@@ -133,10 +133,8 @@ def shadow_selection(rows: DataFrame, columns: Sequence[str], rounds: int = 10,
     hits = dict.fromkeys(columns, 0)
     both = base.select("y").distinct().count() == 2
     for turn in range(rounds if both and columns else 0):
-        wide = base
-        for i, c in enumerate(columns):
-            dealt = models.permuted(base.select("key", c), c, 1000 * turn + i).withColumnRenamed(c, f"__shadow{i}")
-            wide = wide.join(dealt, "key")
+        dealt = models.permuted(base.select("key", F.struct(*columns).alias("__all")), "__all", turn)
+        wide = base.join(dealt.select("key", *[F.col(f"__all.{c}").alias(f"__shadow{i}") for i, c in enumerate(columns)]), "key")
         shadows = [f"__shadow{i}" for i in range(len(columns))]
         vectors = VectorAssembler(inputCols=[*columns, *shadows], outputCol="features").transform(scratch.save(wide, "wide"))
         weight = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=5, seed=turn).fit(vectors).featureImportances.toArray()

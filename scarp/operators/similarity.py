@@ -120,8 +120,12 @@ def cliffs(postings: DataFrame, response: DataFrame, similarity: float = CLIFF_S
 
     Members of a class get their response before classes are expanded, and only pairs far enough apart leave the join.
     """
-    found = similar_classes(postings, similarity, clean)
-    told, n = Scratch(postings.sparkSession, "cliffs").save_measured(found.members.join(known_response(response), "key").select("rep", "key", "p", "copies"), "told")
+    return cliffs_of(similar_classes(postings, similarity, clean), response, delta)
+
+
+def cliffs_of(found: Similar, response: DataFrame, delta: float = CLIFF_DELTA) -> DataFrame:
+    """As ``cliffs``, of classes that are found already."""
+    told, n = Scratch(found.pairs.sparkSession, "cliffs").save_measured(found.members.join(known_response(response), "key").select("rep", "key", "p", "copies"), "told")
     one, two = told.select(F.col("rep").alias("x"), F.col("key").alias("a"), F.col("p").alias("pa")), told.select(F.col("rep").alias("y"), F.col("key").alias("b"), F.col("p").alias("pb"))
     apart = F.abs(F.col("pa") - F.col("pb"))
     across = blocked_join(blocked_join(found.pairs, one, "x", found.n_pairs), two, "y", max(found.n_pairs, n["n"])).where(apart >= delta).select("a", "b", "sim", "pa", "pb")

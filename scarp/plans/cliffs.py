@@ -45,7 +45,7 @@ def potency(spark: SparkSession, folder: str) -> DataFrame:
     return sums.join(known, "compound_key").groupBy("key").agg((F.sum("s") / F.sum("n")).alias("p"))
 
 
-def _classes(spark: SparkSession, folder: str) -> S.Similar:
+def similar_molecules(spark: SparkSession, folder: str) -> S.Similar:
     return S.similar_classes(molecule_tokens(spark, folder), S.CLIFF_SIMILARITY, plain_fragment)
 
 
@@ -68,12 +68,12 @@ def sali_landscape(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def similarity_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    return S.neighbor_counts(_classes(spark, folder)).withColumnRenamed("key", "mol_id")
+    return S.neighbor_counts(similar_molecules(spark, folder)).withColumnRenamed("key", "mol_id")
 
 
 def similarity_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Every molecule with a fragment, its class of equal sets, the copies in it and its number of similar molecules."""
-    found = _classes(spark, folder)
+    found = similar_molecules(spark, folder)
     counts = S.neighbor_counts(found)
     return found.members.join(counts, "key", "left").select(F.col("key").alias("mol_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("n_neighbors", F.lit(0)).alias("n_links"))
 
@@ -85,7 +85,7 @@ def cliff_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cliff_components(spark: SparkSession, folder: str) -> DataFrame:
-    return S.class_components(_classes(spark, folder)).select(F.col("key").alias("mol_id"), F.col("group_key").alias("group_id"))
+    return S.class_components(similar_molecules(spark, folder)).select(F.col("key").alias("mol_id"), F.col("group_key").alias("group_id"))
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,9 +101,9 @@ def cliff_train_max(spark: SparkSession, folder: str) -> DataFrame:
     return splits.cliffs_in_train(flagged, "key", "y", "in_cliff", 0.2).select(F.col("key").alias("mol_id"), "in_cliff", "part")
 
 
-def labelled_groups(spark: SparkSession, folder: str) -> DataFrame:
+def labelled_groups(spark: SparkSession, folder: str, found: S.Similar | None = None) -> DataFrame:
     """(key, p, y, group_id): labelled molecules and their components; a molecule without one is its own."""
-    groups = cliff_components(spark, folder).withColumnRenamed("mol_id", "key")
+    groups = S.class_components(found or similar_molecules(spark, folder)).withColumnRenamed("group_key", "group_id")
     return _labelled(spark, folder).join(groups, "key", "left").withColumn("group_id", F.coalesce("group_id", "key"))
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from ..operators import evaluation as E
 from ..operators import fragments as R
 from ..operators import metrics as M
+from ..operators import similarity as S
 from ..store import Scratch
 from ..tables import table
-from .cliffs import _BASE, COMPONENTS_SQL, attached_fragment, cliff_pairs, labelled_groups
+from .cliffs import _BASE, COMPONENTS_SQL, attached_fragment, labelled_groups, potency, similar_molecules
 
 MEASURES = ["f1", "mcc", "auroc", "average_precision", "brier", "ece", "cliff_rmse", "cliff_f1"]
 
@@ -20,15 +21,21 @@ def _members(spark: SparkSession, folder: str) -> DataFrame:
     return R.membership(table(spark, folder, "fragment_membership"), "mol_id", attached_fragment(F.col("fragment")))
 
 
-def _parts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = Scratch(spark, "labels").save(labelled_groups(spark, folder).select("key", F.col("y").cast("long").alias("y"), "group_id"), "rows")
+def _parts(spark: SparkSession, folder: str, found: S.Similar | None = None) -> DataFrame:
+    rows = Scratch(spark, "labels").save(labelled_groups(spark, folder, found).select("key", F.col("y").cast("long").alias("y"), "group_id"), "rows")
     return E.repeated_splits(rows)
 
 
+def _nodes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The parts and their cliff nodes; similar molecules are looked for once for both."""
+    found = similar_molecules(spark, folder)
+    parts = _parts(spark, folder, found)
+    return parts, E.cliffs_of_tests(parts, S.cliffs_of(found, potency(spark, folder)))
+
+
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
-    parts = _parts(spark, folder)
-    scores = E.count_scores(parts, _members(spark, folder))
-    return Scratch(spark, "evaluation").save(E.run_metrics(scores, E.cliffs_of_tests(parts, cliff_pairs(spark, folder))), "runs")
+    parts, nodes = _nodes(spark, folder)
+    return Scratch(spark, "evaluation").save(E.run_metrics(E.count_scores(parts, _members(spark, folder)), nodes), "runs")
 
 
 def repeated_splits(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,7 +45,7 @@ def repeated_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 def cliff_pairs_in_test(spark: SparkSession, folder: str) -> DataFrame:
     """Molecules of each test part at a cliff within it."""
-    return E.cliffs_of_tests(_parts(spark, folder), cliff_pairs(spark, folder)).select("repeat", F.col("key").alias("mol_id"))
+    return _nodes(spark, folder)[1].select("repeat", F.col("key").alias("mol_id"))
 
 
 def evaluation_scores(spark: SparkSession, folder: str) -> DataFrame:
