@@ -128,6 +128,7 @@ _BASE = (
 )
 COMPONENTS_SQL = """e AS (SELECT a, b FROM s WHERE sim >= 0.8 - 1e-12 UNION SELECT b, a FROM s WHERE sim >= 0.8 - 1e-12),
         c AS (SELECT a AS mol_id, a AS g FROM e UNION SELECT e.b, c.g FROM c JOIN e ON e.a = c.mol_id WHERE c.g < e.b)"""
+_TEST = "(((group_id * 7919 + 104729 + 15485863 * {t}) % 1000003) * ((group_id * 7919 + 104729 + 15485863 * {t}) % 1000003)) % 1000003 < 200000"
 _ENDS = "(SELECT a AS mol_id FROM k UNION SELECT b FROM k)"
 _SPLIT = "CASE WHEN row_number() OVER (PARTITION BY y ORDER BY {h}, mol_id) <= floor(count(*) OVER (PARTITION BY y) * 0.2) THEN 'test' ELSE 'train' END"
 ORACLE_SQL = {
@@ -146,8 +147,8 @@ ORACLE_SQL = {
         f AS (SELECT least(1.0::DOUBLE, floor(count(*) * 0.2) / nullif(count(*) FILTER (WHERE NOT in_cliff), 0)) AS share FROM l)
         SELECT mol_id, in_cliff, CASE WHEN rn <= floor(n * share) THEN 'test' ELSE 'train' END AS part FROM q, f UNION ALL SELECT mol_id, in_cliff, 'train' FROM l WHERE in_cliff""",
     "group_split": f"""WITH RECURSIVE {_BASE}, {COMPONENTS_SQL}, gid AS (SELECT mol_id, min(g) AS group_id FROM c GROUP BY 1), lab AS (SELECT mol_id, CAST(p >= 6 AS BIGINT) AS y, coalesce(group_id, mol_id) AS group_id FROM p LEFT JOIN gid USING (mol_id)),
-        gs AS (SELECT group_id, sum(y) AS y, count(*) AS n FROM lab GROUP BY 1), tr AS (SELECT x AS trial, round(abs(sum(y) / sum(n) - (SELECT avg(y) FROM lab)), 9) AS off FROM gs, range(256) AS r(x) WHERE (group_id * 7919 + 104729 + 15485863 * x) % 1000003 < 200000 GROUP BY 1),
+        gs AS (SELECT group_id, sum(y) AS y, count(*) AS n FROM lab GROUP BY 1), tr AS (SELECT x AS trial, round(abs(sum(y) / sum(n) - (SELECT avg(y) FROM lab)), 9) AS off FROM gs, range(256) AS r(x) WHERE {_TEST.format(t='x')} GROUP BY 1),
         bt AS (SELECT trial FROM tr ORDER BY CASE WHEN off <= 0.02 THEN 0 ELSE off END, trial LIMIT 1)
-        SELECT mol_id, group_id, CASE WHEN (group_id * 7919 + 104729 + 15485863 * trial) % 1000003 < 200000 THEN 'test' ELSE 'train' END AS part FROM lab, bt""",
+        SELECT mol_id, group_id, CASE WHEN {_TEST.format(t='trial')} THEN 'test' ELSE 'train' END AS part FROM lab, bt""",
     "stratified_split": f"WITH {_BASE}, l AS (SELECT mol_id, CAST(p >= 6 AS INT) AS y FROM p) SELECT mol_id, y, {_SPLIT.format(h=_HASH.format(k='mol_id'))} AS part FROM l",
 }

@@ -78,12 +78,13 @@ def evaluation_ranking(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (repeated_splits, cliff_pairs_in_test, evaluation_scores, evaluation_runs, evaluation_summary, evaluation_ranking)}
 
 _H = "(({k}) * 7919 + 104729 + 15485863 * ({t})) % 1000003"
+_T = f"(({_H}) * ({_H})) % 1000003 < 200000"
 _PARTS = f"""{_BASE}, {COMPONENTS_SQL}, st AS (SELECT mol_id, tok FROM t WHERE contains(tok, '[*]')),
   gid AS (SELECT mol_id, min(g) AS group_id FROM c GROUP BY 1), lab AS (SELECT mol_id AS key, CAST(p >= 6 AS BIGINT) AS y, coalesce(group_id, mol_id) AS group_id FROM p LEFT JOIN gid USING (mol_id)),
   gs AS (SELECT group_id, sum(y) AS y, count(*) AS n FROM lab GROUP BY 1),
-  tr AS (SELECT t AS trial, round(abs(sum(y) / sum(n) - (SELECT avg(y) FROM lab)), 9) AS off FROM gs, range({E.REPEATS * E.TRIALS}) AS r(t) WHERE {_H.format(k='group_id', t='t')} < 200000 GROUP BY 1),
+  tr AS (SELECT t AS trial, round(abs(sum(y) / sum(n) - (SELECT avg(y) FROM lab)), 9) AS off FROM gs, range({E.REPEATS * E.TRIALS}) AS r(t) WHERE {_T.format(k='group_id', t='t')} GROUP BY 1),
   bt AS (SELECT trial // {E.TRIALS} AS repeat, trial FROM tr QUALIFY row_number() OVER (PARTITION BY trial // {E.TRIALS} ORDER BY CASE WHEN off <= {E.TOLERANCE} THEN 0 ELSE off END, trial) = 1),
-  laid AS (SELECT repeat, key, y, {_H.format(k='group_id', t='trial')} < 200000 AS tested FROM lab, bt),
+  laid AS (SELECT repeat, key, y, {_T.format(k='group_id', t='trial')} AS tested FROM lab, bt),
   rest AS (SELECT *, row_number() OVER (PARTITION BY repeat, y ORDER BY {_H.format(k='key + repeat * 101', t='0')}, key) AS rn, count(*) OVER (PARTITION BY repeat, y) AS n FROM laid WHERE NOT tested),
   parts AS (SELECT repeat, key, y, 'test' AS part FROM laid WHERE tested UNION ALL SELECT repeat, key, y, CASE WHEN rn <= floor(n * {E.VALID_SHARE}) THEN 'valid' ELSE 'fit' END FROM rest),
   nd AS (SELECT DISTINCT x.repeat, unnest([a, b]) AS key FROM k JOIN parts x ON x.part = 'test' AND x.key = a JOIN parts y ON y.part = 'test' AND y.key = b AND y.repeat = x.repeat)"""
