@@ -18,6 +18,8 @@ WEIGHTS = {"qsar": 0.4, "sa": 0.4, "qed": 0.2}
 ADJUST_WEIGHT, LOW_TARGET, HIGH_TARGET, ENRICHMENT_SCALE = 0.4, 0.75, 0.85, 30.0
 #: Cells of the Pareto grid along each objective.
 LEVELS = 16
+#: Values that one task compares with each other at once; more of them go through the grid.
+FEW = 4096
 #: Candidates that one round of the sequential choice looks at.
 LOOK_AHEAD = 64
 
@@ -78,7 +80,8 @@ def pareto_front(rows: DataFrame, objectives: list[str], levels: int = LEVELS) -
     objective. A cell that another beats by a level in every objective is empty of the front; what is left of a cell
     meets only the cells that are nowhere below it, in a join on the cell whose large cells are split into blocks. So
     neither the front nor a cell passes through one task, even where the front is the whole table. The cells, at most
-    ``levels ** len(objectives)``, are the only thing that the driver sees.
+    ``levels ** len(objectives)``, are the only thing that the driver sees. What the batches leave is counted first: up to
+    FEW values need no grid.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "front")
@@ -92,6 +95,14 @@ def pareto_front(rows: DataFrame, objectives: list[str], levels: int = LEVELS) -
             yield frame[_undominated(frame.to_numpy(float))]
 
     kept, seen = scratch.save_measured(values.mapInPandas(local, values.schema), "local")
+    if seen["n"] <= FEW:
+
+        def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if held := list(frames):
+                yield from local([pd.concat(held)])
+
+        front = kept.coalesce(1).mapInPandas(whole, kept.schema)
+        return usable.join(F.broadcast(front), objectives, "left_semi")
     share = F.array(*[F.lit(i / levels) for i in range(1, levels)])
     edges = kept.agg(*[F.percentile_approx(c, share, 1000).alias(c) for c in objectives]).first()
     cell = F.lit(0)

@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..skew import blocked_join, lookup_join, ordered_running
 from ..store import Scratch
@@ -47,10 +48,15 @@ def numbered_sets(postings: DataFrame, scratch: Scratch, clean: Callable[[Column
     spelled = postings.groupBy("tok").agg(F.count("*").alias("f")).withColumn("clean", clean(F.col("tok")) if clean else F.col("tok")).where("clean is not null")
     spelled, seen = scratch.save_measured(spelled, "spellings", rows=F.coalesce(F.sum("f"), F.lit(0)), most=F.coalesce(F.max("f"), F.lit(0)))
     counts = spelled.groupBy("clean").agg(F.sum("f").alias("f"))
-    numbers = ordered_running(counts, [], [F.col("f"), F.col("clean")], {}).select("clean", F.col("rn").alias("id"))
+    # The size of a vocabulary is checked: a small one is numbered in one window and goes to every task, any other is
+    # numbered over ranges and joined by shuffle.
+    small = seen["n"] <= BROADCAST_TOKENS
+    if small:
+        numbers = counts.select("clean", F.row_number().over(W.orderBy("f", "clean")).cast("long").alias("id"))
+    else:
+        numbers = ordered_running(counts, [], [F.col("f"), F.col("clean")], {}).select("clean", F.col("rn").alias("id"))
     numbers = spelled.join(numbers, "clean").select("tok", "id")
-    # The size of a vocabulary is checked: a small one goes to every task, any other is joined by shuffle.
-    numbered = postings.join(F.broadcast(numbers), "tok") if seen["n"] <= BROADCAST_TOKENS else lookup_join(postings, numbers, "tok", "inner", rows=seen["rows"], most=seen["most"])
+    numbered = postings.join(F.broadcast(numbers), "tok") if small else lookup_join(postings, numbers, "tok", "inner", rows=seen["rows"], most=seen["most"])
     return scratch.save(numbered.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("s")), "sets")
 
 

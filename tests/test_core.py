@@ -81,6 +81,14 @@ def test_tanimoto_against_brute_force(spark):
         assert got == {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-12}
 
 
+def test_large_vocabularies_are_numbered_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BROADCAST_TOKENS", 3)
+    rows = [(1, "a"), (1, "b"), (2, "A"), (2, "b"), (3, "b"), (3, "c"), (3, "d"), (4, "-")]
+    clean = lambda tok: F.when(tok != "-", F.lower(tok))
+    found = similarity.similar_classes(spark.createDataFrame(rows, "key long, tok string"), 0.2, clean)
+    assert {(r.a, r.b): round(r.sim, 6) for r in similarity.expanded(found).collect()} == {(1, 2): 1.0, (1, 3): 0.25, (2, 3): 0.25}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200)] + [(300, 300 + i) for i in range(1, 30)]
     got = {r.key: r.group_key for r in similarity.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -115,7 +123,9 @@ def test_front_and_empty(spark):
     assert candidates.pareto_front(df.limit(0), ["a", "b"]).count() == 0
 
 
-def test_front_against_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 4096])
+def test_front_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(candidates, "FEW", few)
     rng = np.random.default_rng(2)
     free, line = rng.random((300, 3)).round(2), np.linspace(0, 1, 200)
     for points in (free, np.c_[line, 1 - line, np.zeros(200)]):  # independent objectives, and opposed ones: all on the front
