@@ -116,11 +116,12 @@ def fragment_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def enrichment_of_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Every molecule's fragments with their enrichment, 0 for those without one, summed up."""
+    """Every molecule's fragments with their enrichment, 0 for those without one, summed up from the smallest on, so that no order of rows decides what a tie is rounded to."""
     known = _library(spark, folder).where("fragment is not null").groupBy("fragment").agg(F.max("enrichment").alias("enrichment"))
     members = Scratch(spark, "members").save(_members(spark, folder), "members")
     told = lookup_join(members, known, "fragment")
-    return told.groupBy(F.col("key").alias("mol_id")).agg(F.round(F.sum(F.coalesce("enrichment", F.lit(0.0))), 3).alias("enrichment"), F.count("enrichment").alias("n_known"))
+    values = told.groupBy(F.col("key").alias("mol_id")).agg(F.array_sort(F.collect_list("enrichment")).alias("x"), F.count("enrichment").alias("n_known"))
+    return values.select("mol_id", F.round(F.aggregate("x", F.lit(0.0), lambda total, x: total + x), 3).alias("enrichment"), "n_known")
 
 
 QUERIES = {f.__name__: f for f in (scaled_scores, feature_names, canonical_types, fragment_information, descriptor_choice, display_sample, core_order, weight_window, pre_boost, tagged_records, fragment_usage, fragment_coverage, enrichment_of_members)}

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scarp.operators import features, sampling
+from scarp.plans import features as plans
 from scarp.sources import files
 
 
@@ -88,3 +89,14 @@ def test_bandit(spark):
     used = sampling.usage(spark.createDataFrame([("a", 1, 0.5), ("a", 0, 1.5), ("z", 1, 1.0), (None, 1, 1.0)], "fragment string, success int, reward double"), library)
     assert {(r.fragment, r.attempts, r.successes, r.reward) for r in used.collect()} == {("a", 2, 1, 1.0), ("b", 0, 0, 0.0)}
     assert sampling.coverage(used).first().coverage == 0.5
+
+
+def test_enrichment_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    values = [0.1, 0.2, 0.3, 1e3, -1e3, 7.0005, -0.6]
+    rng = np.random.default_rng(3)
+    rows = [(m, f"{m}_{i}[*]", float(v)) for m in range(60) for i, v in enumerate(rng.permutation(values))]
+    members = [(m, f) for m, f, _ in rows] + [(0, "unknown[*]"), (60, "unknown[*]"), (61, "plain")]
+    spark.createDataFrame(members, "mol_id long, fragment string").write.parquet(str(tmp_path / "fragment_membership.parquet"))
+    spark.createDataFrame([r[1:] for r in rows] + [("0_0[1*]", None)], "fragment_smiles string, ac_enrichment double").write.parquet(str(tmp_path / "selected_fragments.parquet"))
+    got = {r.mol_id: (r.enrichment, r.n_known) for r in plans.enrichment_of_members(spark, str(tmp_path)).collect()}
+    assert got.pop(60) == (0.0, 0) and len(got) == 60 and len(set(got.values())) == 1, set(got.values())
