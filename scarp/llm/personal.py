@@ -43,10 +43,8 @@ MASK = {kind: chr(0xE001 + i) for i, kind in enumerate(TYPES)}
 
 #: A word is taken for a given name if this many documents have it in a telling place, with this many different surnames ...
 LEAST_DOCS, LEAST_SURNAMES = 2, 2
-#: ... which is at least this share of the documents that have it before a capitalised word at all ...
+#: ... which is at least this share of the documents that have it before a capitalised word at all; whatever the number of documents.
 LEAST_SHARE = 0.1
-#: ... and at least one in this many of all documents with a name in a telling place. This bounds what is sent to the tasks.
-MOST_GIVEN = 20_000
 
 
 def _fold(word: str) -> str:
@@ -478,8 +476,8 @@ _J_FIRST = r"(\p{Lu}\p{Ll}+)(?:-\p{Lu}\p{Ll}+)? (?=\p{Lu}\p{Ll})"
 def given_names(docs: DataFrame, text: str = "text") -> frozenset:
     """Words, as written in small letters and without accents, that the texts themselves show to be given names; see the constants for what a word must show.
 
-    One pass in SQL over all texts, counted by document before any shuffle. The driver gets fewer than ``MOST_GIVEN``
-    words times the names of a document, because each must hold its share of all documents with a name in a telling place.
+    One pass in SQL over all texts, counted by document before any shuffle. A word must show the same in few texts and in many.
+    The driver gets the learned words and sends them to the tasks: a vocabulary of given names, which grows with the names there are, not with the texts.
     """
     body = docs.where(F.col(text) != "").select(F.col(text).alias("t"))
     told = F.array_distinct(F.concat(F.regexp_extract_all("t", F.lit(_J_BEFORE), 1), F.regexp_extract_all("t", F.lit(_J_AFTER), 1)))
@@ -489,9 +487,7 @@ def given_names(docs: DataFrame, text: str = "text") -> frozenset:
     rows = body.select(F.inline(F.concat(names, seen)))
     counts = Scratch(docs.sparkSession, "names").save(rows.groupBy("w", "surname", "told").agg(F.count("*").alias("n")), "counts")  # the texts are read once
     words = counts.groupBy("w").agg(F.sum(F.when(F.col("told"), F.col("n"))).alias("told"), F.count("surname").alias("surnames"), F.sum(F.when(~F.col("told"), F.col("n"))).alias("seen"))
-    total = counts.where("told").agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_DOCS, -(-total // MOST_GIVEN))
-    kept = words.where((F.col("told") >= least) & (F.col("surnames") >= LEAST_SURNAMES) & (F.col("told") >= LEAST_SHARE * F.coalesce("seen", F.lit(0))))
+    kept = words.where((F.col("told") >= LEAST_DOCS) & (F.col("surnames") >= LEAST_SURNAMES) & (F.col("told") >= LEAST_SHARE * F.coalesce("seen", F.lit(0))))
     found = [r.w.lower() for r in kept.select("w").collect()]
     return frozenset(form for w in found for form in (w, _fold(w)) if _fold(w) not in NOT_NAMES and _fold(w) not in _NO_PERSON)
 

@@ -46,6 +46,13 @@ def test_given_names_are_learned_from_telling_places(spark):
     assert given_names(df.limit(0)) == frozenset()
 
 
+def test_given_names_are_learned_beside_any_number_of_other_texts(spark):
+    few = spark.createDataFrame([(-1, "Frau Quorin Velmarsen has it"), (-2, "Dr. Quorin Nastby has it"), (-3, "The idea of Quorin Abelard was good")], "doc_id long, text string")
+    many = spark.range(40_001).selectExpr("id as doc_id", "concat('Name: Ozmunda ', if(id % 2 = 0, 'Kell', 'Harding')) as text")
+    assert given_names(few) == {"quorin"}
+    assert given_names(few.unionByName(many)) == {"quorin", "ozmunda"}
+
+
 @pytest.mark.parametrize("words", range(6))
 def test_lower_case_names_after_any_number_of_words(words):
     before = " ".join("so then we could really".split()[:words])
