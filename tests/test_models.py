@@ -50,6 +50,32 @@ def test_votes(spark):
     assert got == {1: (0.5, 2), 4: (0.5, 2)}
 
 
+def test_votes_against_all_pairs(spark, monkeypatch):
+    """Hubs, copies, empty sets, and many blocks; the best of each query over all rows."""
+    rng = np.random.default_rng(11)
+    sets = {i: sorted({*(["hub"] if rng.random() < 0.9 else []), *(["half"] if rng.random() < 0.5 else []), *(f"t{t}" for t in rng.zipf(1.6, rng.integers(0, 7)) if t < 40)}) for i in range(300)}
+    labels = {i: None if i % 9 == 0 else int(rng.random() < 0.5) for i in sets}
+    rows = spark.createDataFrame([(i, labels[i], t) for i, t in sets.items()], "key long, y int, toks array<string>")
+    expected = {}
+    for q in range(0, 300, 3):
+        sims = sorted((-(len({*sets[q]} & {*sets[i]}) / max(1, len({*sets[q]} | {*sets[i]}))), i) for i in sets if i != q and labels[i] is not None)[:7]
+        expected[q] = (round(sum(labels[i] for _, i in sims) / len(sims), 9), len(sims))
+    for blocks in ((10_000, 10_000), (20, 40)):
+        monkeypatch.setattr(similarity, "QUERY_BLOCK", blocks[0])
+        monkeypatch.setattr(similarity, "TABLE_BLOCK", blocks[1])
+        monkeypatch.setattr(clustering, "STEP", 500)
+        got = clustering.nearest_votes(rows.where("key % 3 = 0"), rows, 7).collect()
+        assert {r.key: (round(r.p, 9), r.n_votes) for r in got} == expected
+
+
+def test_blocks_repeat_few_rows(spark):
+    """What a comparison with all rows shuffles: each row once per block of queries, which are large."""
+    rows = spark.range(60_000).selectExpr("id as key", "array(id % 7) as toks")
+    left, right = similarity.blocked(rows.where("key % 20 = 0").toDF("q", "qtoks"), rows)
+    assert left.count() + right.count() <= 3_000 * 10 + 60_000
+    assert similarity.against_all(rows.where("key < 3").toDF("q", "qtoks"), rows.limit(100)).groupBy("q").count().where("count = 99").count() == 3
+
+
 def _sets(spark, n=240):
     rng = np.random.default_rng(8)
     rows = []
