@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scarp.operators import clustering, metrics, models, similarity
+from scarp.plans import cliffs
 
 
 def _greedy(pairs):
@@ -76,6 +77,15 @@ def test_blocks_repeat_few_rows(spark):
     assert similarity.against_all(rows.where("key < 3").toDF("q", "qtoks"), rows.limit(100)).groupBy("q").count().where("count = 99").count() == 3
 
 
+def test_landscape_compares_numbers(spark):
+    """Sets of numbers take less of the shuffle than sets of texts and have the same similarities."""
+    folder = "/root/testdata/sf0.001"
+    as_texts, as_numbers = cliffs.molecule_sets(spark, folder), cliffs.numbered_molecules(spark, folder)
+    assert as_numbers.schema["toks"].dataType.elementType.typeName() == "long"
+    sims = [sorted((r.q, r.key, r.sim) for r in similarity.against_all(t.where("key % 20 = 0").selectExpr("key as q", "toks as qtoks"), t.select("key", "toks")).collect()) for t in (as_texts, as_numbers)]
+    assert sims[0] == sims[1] and len(sims[0]) > 100
+
+
 def _sets(spark, n=240):
     rng = np.random.default_rng(8)
     rows = []
