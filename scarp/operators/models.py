@@ -62,14 +62,25 @@ def _estimator(kind: str, seed: int):
     raise ValueError(f"unknown kind of model: {kind}")
 
 
-#: Fits that run side by side; each is many small jobs.
+#: Fits that run side by side, at most; each is many small jobs.
 AT_ONCE = 8
+#: Vectors as long as the number of features that one linear fit has at the driver (20 of them are the optimiser's memory), and
+#: the share of the driver's heap that the fits side by side may take.
+FIT_VECTORS, FIT_SHARE = 40, 0.4
 
 
-def side_by_side(jobs: list) -> list:
-    """The results of argument-free functions, in order; they share the executors as concurrent jobs."""
-    with ThreadPool(min(AT_ONCE, max(1, len(jobs)))) as pool:
-        return pool.map(lambda job: job(), jobs)
+def side_by_side(jobs: list, most: int = AT_ONCE) -> list:
+    """The results of argument-free functions, in order; they share the executors as concurrent jobs, ``most`` at a time."""
+    with ThreadPool(min(most, max(1, len(jobs)))) as pool:
+        return pool.map(lambda job: job(), jobs, chunksize=1)
+
+
+def fits_at_once(rows: DataFrame, heap: int | None = None) -> int:
+    """How many linear fits of ``features`` the driver's heap (bytes) holds side by side, from 1 to AT_ONCE; the models do not depend on it."""
+    heap = heap or rows.sparkSession._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    first = rows.select("features").first()
+    size = first.features.size if first else 1
+    return max(1, min(AT_ONCE, int(heap * FIT_SHARE / (8 * FIT_VECTORS * max(1, size)))))
 
 
 def fit(kind: str, train: DataFrame, seed: int = 0):
@@ -116,14 +127,22 @@ def folds(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def cross_validated(rows: DataFrame, kind: str, k: int = 5, seed: int = 0, repeats: int = 1) -> DataFrame:
     """(fold, key, y, p): every row scored by the model that did not see its fold; fold ``r * k + i`` is the i-th of repeat r."""
+    scratch = Scratch(rows.sparkSession, "folds")
     slim = rows.select("key", "y", "features")
-    cuts = side_by_side([lambda turn=turn: Scratch(rows.sparkSession, "folds").save(folds(slim, k, seed + turn), "folds") for turn in range(repeats)])
+    keys = rows.select("key", "y")
+    cuts = side_by_side([lambda turn=turn: scratch.save(folds(keys, k, seed + turn).select("key", F.struct(F.lit(turn).alias("turn"), "fold").alias("cut")), f"cut{turn}") for turn in range(repeats)])
+    dealt = _union(cuts).groupBy("key").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    base = scratch.save(slim.join(dealt.select("key", F.col("cuts.fold").alias("folds")), "key"), "base")  # vectors are written once
+    scratch.forget(*cuts)
 
     def held_out(turn: int, fold: int) -> DataFrame | None:
-        model = fit(kind, cuts[turn].where(F.col("fold") != fold), seed + turn)
-        return probability(model, cuts[turn].where(F.col("fold") == fold)).withColumn("fold", F.lit(turn * k + fold)) if model else None
+        """Written, so that no plan keeps the model."""
+        at = F.col("folds")[turn]
+        model = fit(kind, base.where(at != fold), seed + turn)
+        told = probability(model, base.where(at == fold)).withColumn("fold", F.lit(turn * k + fold)) if model else None
+        return scratch.save(told, f"fold{turn}-{fold}") if told is not None else None
 
-    parts = side_by_side([lambda turn=turn, fold=fold: held_out(turn, fold) for turn in range(repeats) for fold in range(k)])
+    parts = side_by_side([lambda turn=turn, fold=fold: held_out(turn, fold) for turn in range(repeats) for fold in range(k)], fits_at_once(base))
     told = _union([p for p in parts if p is not None])
     return told.select("fold", "key", "y", "p") if told is not None else _nothing(rows, "fold int")
 

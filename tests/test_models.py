@@ -109,6 +109,20 @@ def test_models_learn_and_scrambled_labels_do_not(spark):
     assert models.cross_validated(rows.where("y = 1"), "logreg", 3).count() == 0
 
 
+def test_folds_leave_no_model_in_the_plan(spark):
+    rows = models.hashed(_sets(spark, 80), 64)
+    told = models.cross_validated(rows, "logreg", 2, repeats=2)
+    assert "UDF" not in told._jdf.queryExecution().toString() and told.count() == 160
+    for turn in range(2):  # the folds are those of ``folds``
+        expected = {(r.key, turn * 2 + r.fold) for r in models.folds(rows, 2, turn).collect()}
+        assert {(r.key, r.fold) for r in told.where(F.col("fold").between(turn * 2, turn * 2 + 1)).collect()} == expected
+
+
+def test_fits_side_by_side_fit_the_heap(spark):
+    rows = models.hashed(_sets(spark, 10), 400_000)
+    assert models.fits_at_once(rows, 750 << 20) == 2 and models.fits_at_once(rows, 64 << 20) == 1 and models.fits_at_once(models.hashed(_sets(spark, 10), 64), 750 << 20) == models.AT_ONCE
+
+
 def test_permuted_keeps_the_values(spark):
     df = spark.createDataFrame([(i, float(i % 7), i) for i in range(50)] + [(99, None, 99)], "key long, v double, other long")
     got = models.permuted(df, "v", 3).collect()
