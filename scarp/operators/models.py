@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from ..skew import exact_percentile, lookup_join, ordered_running
 from ..store import Scratch
-from . import metrics
+from . import metrics, trees
 
 BITS = 1024
 KINDS = ("logreg", "linear_svm", "forest", "balanced_forest", "boosted")
+TREES = ("forest", "balanced_forest", "boosted")
 #: Fixed value: descriptor values are cut to this range.
 LIMIT = 1e6
 
@@ -108,11 +109,48 @@ def _union(frames: list[DataFrame]) -> DataFrame | None:
 
 def evaluate(rows: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     """(model, key, y, p) of the rows whose ``part`` is ``test``, by models fitted on ``train``; none without both labels."""
-    train = Scratch(rows.sparkSession, "evaluate").save(rows.where("part = 'train'").select("key", "y", "features"), "train")
-    models = list(zip(kinds, side_by_side([lambda kind=kind: fit(kind, train) for kind in kinds])))
-    test = rows.where("part = 'test'")
-    told = _union([probability(m, test).withColumn("model", F.lit(kind)) for kind, m in models if m])
-    return told.select("model", "key", "y", "p") if told is not None else _nothing(rows, "model string")
+    return evaluate_splits(rows, ["part"], kinds).select("model", "key", "y", "p")
+
+
+def _plan(kind: str, turn: int, size: int, labels: tuple[int, int]) -> trees.Plan:
+    """The trees of ``_estimator``, with its numbers."""
+    own = _estimator(kind, 0)
+    if kind == "boosted":
+        return trees.Plan(turn, kind, size, own.getMaxIter(), own.getMaxDepth(), step=own.getStepSize())
+    weights = tuple(sum(labels) / (2.0 * n) for n in labels) if kind.startswith("balanced") else (1.0, 1.0)
+    return trees.Plan(turn, kind, size, own.getNumTrees(), own.getMaxDepth(), weights)
+
+
+def evaluate_splits(rows: DataFrame, parts: Sequence[str], kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(repeat, model, key, y, p): as ``evaluate`` for each column of ``parts``, numbered from 0.
+
+    Features of presence, all 0 or 1, get the trees of ``trees``, those of all splits together; linear models and
+    the trees of other features are MLlib's, fitted side by side.
+    """
+    scratch = Scratch(rows.sparkSession, "evaluate")
+    split = F.udf(_sparse, "size int, indices array<int>, values array<double>")
+    marks = [F.array(*[F.col(p).eqNullSafe(F.lit(part)) for p in parts]) for part in ("train", "test")]
+    base = scratch.save(rows.select("key", "y", "features", split("features").alias("f"), F.coalesce(F.col("y").isin(0, 1), F.lit(False)).alias("__known"), marks[0].alias("__train"), marks[1].alias("test"))
+                        .select("key", "y", "features", "f.*", F.transform("__train", lambda t: t & F.col("__known")).alias("train"), "test"), "base")
+    counts = [F.count(F.when(F.col("train")[t] & (F.col("y") == y), 1)).alias(f"n{t}_{y}") for t in range(len(parts)) for y in (0, 1)]
+    seen = base.agg(F.max("size").alias("size"), F.coalesce(F.bool_and(F.forall("values", lambda v: v == 1.0)), F.lit(True)).alias("presence"), *counts).first()
+    labels = {t: (seen[f"n{t}_0"], seen[f"n{t}_1"]) for t in range(len(parts))}
+    wanted = [(t, kind) for t in labels if min(labels[t]) for kind in kinds]
+    grows = [_plan(kind, t, seen["size"], labels[t]) for t, kind in wanted if seen.presence and kind in TREES]
+
+    def fitted(t: int, kind: str) -> DataFrame:
+        """Written, so that no plan keeps the model."""
+        model = fit(kind, base.where(F.col("train")[t]), 0)
+        told = probability(model, base.where(F.col("test")[t]).select("key", "y", "features"))
+        return scratch.save(told.select(F.lit(t).alias("repeat"), F.lit(kind).alias("model"), "key", "y", "p"), f"told{t}-{kind}")
+
+    def grown() -> DataFrame:
+        blocks = trees.Blocks(*trees.packed(base.select("key", "y", "indices", "train", "test"), scratch))
+        return scratch.save(blocks.scored(grows, blocks.fitted(grows)), "trees")
+
+    jobs = [grown] * bool(grows) + [lambda t=t, kind=kind: fitted(t, kind) for t, kind in wanted if not (seen.presence and kind in TREES)]
+    told = _union(side_by_side(jobs, fits_at_once(base)))
+    return told if told is not None else _nothing(rows, "repeat int, model string")
 
 
 def _nothing(rows: DataFrame, first: str) -> DataFrame:

@@ -40,6 +40,11 @@ def grouped(rows: DataFrame, key: str, label: str, group: str, share: float, tri
     """No group is in both parts. Of ``trials`` draws of groups, the first whose test labels' mean is within
     ``tolerance`` of the whole, or else the closest, is taken; ``share`` is a share of groups. Each
     ``seed`` has draws of its own."""
+    return rows.withColumn("part", grouped_part(rows, label, group, share, trials, tolerance, seed))
+
+
+def grouped_part(rows: DataFrame, label: str, group: str, share: float, trials: int = 256, tolerance: float = 0.02, seed: int = 0) -> Column:
+    """The ``part`` of ``grouped``."""
     sums = rows.groupBy(group).agg(F.sum(label).alias("y"), F.count("*").alias("n"))
     turns = F.filter(F.sequence(F.lit(seed * trials).cast("long"), F.lit((seed + 1) * trials - 1).cast("long")), lambda t: in_test(F.col(group), t, share))
     drawn = sums.select("y", "n", F.explode(turns).alias("trial"))
@@ -47,4 +52,4 @@ def grouped(rows: DataFrame, key: str, label: str, group: str, share: float, tri
     means = drawn.groupBy("trial").agg((F.sum("y") / F.sum("n")).alias("m")).withColumn("off", F.round(F.abs(F.col("m") - F.lit(base)), 9))
     best = means.orderBy(F.when(F.col("off") <= tolerance, 0.0).otherwise(F.col("off")), "trial").first()  # one row per trial
     trial = best.trial if best else seed * trials
-    return rows.withColumn("part", F.when(in_test(F.col(group), F.lit(trial).cast("long"), share), "test").otherwise("train"))
+    return F.when(in_test(F.col(group), F.lit(trial).cast("long"), share), "test").otherwise("train")
