@@ -65,6 +65,8 @@ def _estimator(kind: str, seed: int):
 
 #: Fits that run side by side, at most; each is many small jobs.
 AT_ONCE = 8
+#: Jobs of an evaluation that run side by side, at most: each fit has threads and heap at the driver, and the trees fill the executors.
+BESIDE = 3
 #: Vectors as long as the number of features that one linear fit has at the driver (20 of them are the optimiser's memory), and
 #: the share of the driver's heap that the fits side by side may take.
 FIT_VECTORS, FIT_SHARE = 40, 0.4
@@ -149,7 +151,7 @@ def evaluate_splits(rows: DataFrame, parts: Sequence[str], kinds: Sequence[str]
         return scratch.save(blocks.scored(grows, blocks.fitted(grows)), "trees")
 
     jobs = [grown] * bool(grows) + [lambda t=t, kind=kind: fitted(t, kind) for t, kind in wanted if not (seen.presence and kind in TREES)]
-    told = _union(side_by_side(jobs, fits_at_once(base)))
+    told = _union(side_by_side(jobs, min(BESIDE, fits_at_once(base))))
     return told if told is not None else _nothing(rows, "repeat int, model string")
 
 
