@@ -66,7 +66,7 @@ def _estimator(kind: str, seed: int):
 #: Fits that run side by side, at most; each is many small jobs.
 AT_ONCE = 8
 #: Jobs of an evaluation that run side by side, at most: each fit has threads and heap at the driver, and the trees fill the executors.
-BESIDE = 3
+BESIDE = 2
 #: Vectors as long as the number of features that one linear fit has at the driver (20 of them are the optimiser's memory), and
 #: the share of the driver's heap that the fits side by side may take.
 FIT_VECTORS, FIT_SHARE = 40, 0.4
@@ -144,7 +144,9 @@ def evaluate_splits(rows: DataFrame, parts: Sequence[str], kinds: Sequence[str]
         """Written, so that no plan keeps the model."""
         model = fit(kind, base.where(F.col("train")[t]), 0)
         told = probability(model, base.where(F.col("test")[t]).select("key", "y", "features"))
-        return scratch.save(told.select(F.lit(t).alias("repeat"), F.lit(kind).alias("model"), "key", "y", "p"), f"told{t}-{kind}")
+        saved = scratch.save(told.select(F.lit(t).alias("repeat"), F.lit(kind).alias("model"), "key", "y", "p"), f"told{t}-{kind}")
+        rows.sparkSession._jvm.System.gc()  # else the driver's heap grows with what earlier fits have left
+        return saved
 
     def grown() -> DataFrame:
         blocks = trees.Blocks(*trees.packed(base.select("key", "y", "indices", "train", "test"), scratch))
