@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from ..skew import exact_percentile, lookup_join, ordered_running
 from ..store import Scratch
-from . import metrics, trees
+from . import linear, metrics, trees
 
 BITS = 1024
 KINDS = ("logreg", "linear_svm", "forest", "balanced_forest", "boosted")
 TREES = ("forest", "balanced_forest", "boosted")
+LINEAR = tuple(linear.LOSSES)
 #: Fixed value: descriptor values are cut to this range.
 LIMIT = 1e6
 
@@ -41,13 +42,23 @@ def token_index(sets: DataFrame) -> DataFrame:
     return Scratch(sets.sparkSession, "index").save(ordered_running(tokens, [], [F.col("token")], {}).select("token", (F.col("rn") - 1).alias("at")), "index")
 
 
-def indexed(sets: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds ``features``: presence of the tokens ``toks`` at their positions in ``index``; tokens outside of it do not count."""
+def placed(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds ``indices``, the positions in ``index`` of the tokens ``toks``, and ``size``, how many it has; tokens outside of it do not count."""
     size = max(1, index.count())
-    vector = F.udf(lambda at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())
     uses = Scratch(sets.sparkSession, "uses").save(sets.select("key", F.explode_outer("toks").alias("token")), "uses")
-    placed = lookup_join(uses, index, "token").groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("__at"))
-    return sets.join(placed, "key").withColumn("features", vector("__at")).drop("__at")
+    found = lookup_join(uses, index, "token").groupBy("key").agg(F.array_sort(F.collect_set("at")).cast("array<int>").alias("indices"))
+    return sets.join(found, "key").withColumn("size", F.lit(size))
+
+
+def presence(rows: DataFrame) -> DataFrame:
+    """Adds ``features``: 1 at the ``indices`` of a vector of ``size``."""
+    vector = F.udf(lambda size, at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())
+    return rows.withColumn("features", vector("size", "indices"))
+
+
+def indexed(sets: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds ``features``: presence of the tokens ``toks`` at their positions in ``index``; tokens outside of it do not count."""
+    return presence(placed(sets, index)).drop("indices", "size")
 
 
 def _estimator(kind: str, seed: int):
@@ -126,34 +137,44 @@ def _plan(kind: str, turn: int, size: int, labels: tuple[int, int]) -> trees.Pla
 def evaluate_splits(rows: DataFrame, parts: Sequence[str], kinds: Sequence[str] = KINDS) -> DataFrame:
     """(repeat, model, key, y, p): as ``evaluate`` for each column of ``parts``, numbered from 0.
 
-    Features of presence, all 0 or 1, get the trees of ``trees``, those of all splits together; linear models and
-    the trees of other features are MLlib's, fitted side by side.
+    Features of presence, all 0 or 1, get the trees of ``trees``, those of all splits together, and the linear models of
+    ``linear`` if one task can hold the rows; other linear models and the models of other features are MLlib's,
+    fitted side by side. Rows with ``size`` and ``indices`` (``placed``) in place of ``features`` get vectors only for MLlib.
     """
     scratch = Scratch(rows.sparkSession, "evaluate")
+    sparse = "indices" in rows.columns
     split = F.udf(_sparse, "size int, indices array<int>, values array<double>")
     marks = [F.array(*[F.col(p).eqNullSafe(F.lit(part)) for p in parts]) for part in ("train", "test")]
-    base = scratch.save(rows.select("key", "y", "features", split("features").alias("f"), F.coalesce(F.col("y").isin(0, 1), F.lit(False)).alias("__known"), marks[0].alias("__train"), marks[1].alias("test"))
-                        .select("key", "y", "features", "f.*", F.transform("__train", lambda t: t & F.col("__known")).alias("train"), "test"), "base")
+    told = [F.col("size"), F.col("indices")] if sparse else [F.col("features"), split("features").alias("f")]
+    known = F.coalesce(F.col("y").isin(0, 1), F.lit(False)).alias("__known")
+    base = rows.select("key", "y", *told, known, marks[0].alias("__train"), marks[1].alias("test"))
+    base = scratch.save(base.select("key", "y", *(["size", "indices"] if sparse else ["features", "f.*"]), F.transform("__train", lambda t: t & F.col("__known")).alias("train"), "test"), "base")
     counts = [F.count(F.when(F.col("train")[t] & (F.col("y") == y), 1)).alias(f"n{t}_{y}") for t in range(len(parts)) for y in (0, 1)]
-    seen = base.agg(F.max("size").alias("size"), F.coalesce(F.bool_and(F.forall("values", lambda v: v == 1.0)), F.lit(True)).alias("presence"), *counts).first()
+    ones = F.lit(True) if sparse else F.coalesce(F.bool_and(F.forall("values", lambda v: v == 1.0)), F.lit(True))
+    seen = base.agg(F.max("size").alias("size"), ones.alias("presence"), *counts).first()
     labels = {t: (seen[f"n{t}_0"], seen[f"n{t}_1"]) for t in range(len(parts))}
     wanted = [(t, kind) for t in labels if min(labels[t]) for kind in kinds]
     grows = [_plan(kind, t, seen["size"], labels[t]) for t, kind in wanted if seen.presence and kind in TREES]
+    blocks = trees.Blocks(*trees.packed(base.select("key", "y", "indices", "train", "test"), scratch)) if seen.presence and wanted else None
+    lines = [linear.Plan(t, kind, own.getMaxIter(), own.getRegParam(), own.getTol()) for t, kind in wanted if blocks and blocks.n == 1 and kind in LINEAR for own in [_estimator(kind, 0)]]
+
+    rest = [(t, kind) for t, kind in wanted if not (seen.presence and kind in TREES or lines and kind in LINEAR)]
+    vectors = scratch.save(presence(base), "vectors") if sparse and rest else base
 
     def fitted(t: int, kind: str) -> DataFrame:
         """Written, so that no plan keeps the model."""
-        model = fit(kind, base.where(F.col("train")[t]), 0)
-        told = probability(model, base.where(F.col("test")[t]).select("key", "y", "features"))
+        model = fit(kind, vectors.where(F.col("train")[t]), 0)
+        told = probability(model, vectors.where(F.col("test")[t]).select("key", "y", "features"))
         saved = scratch.save(told.select(F.lit(t).alias("repeat"), F.lit(kind).alias("model"), "key", "y", "p"), f"told{t}-{kind}")
         rows.sparkSession._jvm.System.gc()  # else the driver's heap grows with what earlier fits have left
         return saved
 
     def grown() -> DataFrame:
-        blocks = trees.Blocks(*trees.packed(base.select("key", "y", "indices", "train", "test"), scratch))
         return scratch.save(blocks.scored(grows, blocks.fitted(grows)), "trees")
 
-    jobs = [grown] * bool(grows) + [lambda t=t, kind=kind: fitted(t, kind) for t, kind in wanted if not (seen.presence and kind in TREES)]
-    told = _union(side_by_side(jobs, min(BESIDE, fits_at_once(base))))
+    jobs = [lambda: scratch.save(blocks.linear(lines), "lines")] * bool(lines) + [grown] * bool(grows)
+    jobs += [lambda t=t, kind=kind: fitted(t, kind) for t, kind in rest]
+    told = _union(side_by_side(jobs, min(BESIDE, fits_at_once(vectors) if rest else BESIDE)))
     return told if told is not None else _nothing(rows, "repeat int, model string")
 
 

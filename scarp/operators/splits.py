@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..skew import ordered_running
 
+_PRIME = 1_000_003
+
 
 def draw(key: Column, seed: int = 0) -> Column:
     """A portable pseudo-random order number of an integer key."""
@@ -45,11 +50,30 @@ def grouped(rows: DataFrame, key: str, label: str, group: str, share: float, tri
 
 def grouped_part(rows: DataFrame, label: str, group: str, share: float, trials: int = 256, tolerance: float = 0.02, seed: int = 0) -> Column:
     """The ``part`` of ``grouped``."""
-    sums = rows.groupBy(group).agg(F.sum(label).alias("y"), F.count("*").alias("n"))
-    turns = F.filter(F.sequence(F.lit(seed * trials).cast("long"), F.lit((seed + 1) * trials - 1).cast("long")), lambda t: in_test(F.col(group), t, share))
-    drawn = sums.select("y", "n", F.explode(turns).alias("trial"))
+    return grouped_parts(rows, label, group, share, [seed], trials, tolerance)[0]
+
+
+def grouped_parts(rows: DataFrame, label: str, group: str, share: float, seeds: Sequence[int], trials: int = 256, tolerance: float = 0.02) -> list[Column]:
+    """``grouped_part`` of each of ``seeds``: one pass over the groups counts what every draw of every seed puts into the test part."""
     base = rows.agg(F.avg(label).alias("m")).first().m
-    means = drawn.groupBy("trial").agg((F.sum("y") / F.sum("n")).alias("m")).withColumn("off", F.round(F.abs(F.col("m") - F.lit(base)), 9))
-    best = means.orderBy(F.when(F.col("off") <= tolerance, 0.0).otherwise(F.col("off")), "trial").first()  # one row per trial
-    trial = best.trial if best else seed * trials
-    return F.when(in_test(F.col(group), F.lit(trial).cast("long"), share), "test").otherwise("train")
+    sums = rows.where(F.col(group).isNotNull()).groupBy(F.pmod(F.col(group) * 7919 + 104_729, F.lit(_PRIME)).alias("x")).agg(F.coalesce(F.sum(label), F.lit(0)).cast("double").alias("y"), F.count(label).alias("c"), F.count("*").alias("n"))
+    turns = [t for seed in seeds for t in range(seed * trials, (seed + 1) * trials)]
+
+    def count(batches):
+        import pyarrow as pa
+
+        square = np.arange(_PRIME, dtype=np.int64) ** 2 % _PRIME < int(share * _PRIME)
+        hit = np.concatenate([square, square])
+        held = np.zeros((len(turns), 3))
+        for batch in batches:
+            x, *columns = (batch.column(i).to_numpy() for i in range(4))
+            values = np.stack(columns, -1).astype(float)
+            for i, t in enumerate(turns):
+                held[i] += values[hit[x + 15_485_863 * t % _PRIME]].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int64()), *map(pa.array, held.T)], ["trial", "y", "c", "n"])
+
+    drawn = sums.mapInArrow(count, "trial long, y double, c double, n double").groupBy("trial").agg(*[F.sum(c).alias(c) for c in "ycn"]).where("n > 0")
+    means = drawn.select("trial", F.when(F.col("c") > 0, F.col("y") / F.col("n")).alias("m")).withColumn("off", F.round(F.abs(F.col("m") - F.lit(base)), 9))
+    first = F.min(F.struct(F.when(F.col("off") <= tolerance, 0.0).otherwise(F.col("off")).alias("off"), "trial")).alias("best")
+    best = {r.seed: r.best.trial for r in means.groupBy(F.floor(F.col("trial") / trials).alias("seed")).agg(first).collect()}  # a row per seed
+    return [F.when(in_test(F.col(group), F.lit(best.get(seed, seed * trials)).cast("long"), share), "test").otherwise("train") for seed in seeds]

@@ -5,9 +5,9 @@ MLlib's: Gini impurity and Poisson bags with the square root of the features dra
 and the log loss for boosting, splits while something is gained, and leaves merged that predict the same.
 All random choices are hashes of keys and numbers of trees and nodes, so they do not depend on how rows lie.
 
-Rows are packed into blocks of ``scarp.chunkRows``. With one block, tasks grow whole trees; with more, each
-level of all trees is one job in which every block counts for itself and the counts are added up.
-What reaches the driver is models.
+Rows that a task can hold (BLOCK_ROWS, BLOCK_ENTRIES, or ``scarp.chunkRows`` if it is set) are one block, others are packed
+into blocks of ``scarp.chunkRows``. With one block, tasks grow whole trees and fit whole linear models; with more, each level of all trees is one job in
+which every block counts for itself and the counts are added up. What reaches the driver is models of trees.
 
 A node is a slot: the rows without the feature of its split keep the slot, those with it get a new one.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import pickle
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.serializers import CloudPickleSerializer
@@ -25,10 +26,19 @@ from pyspark.sql import functions as F
 
 from ..skew import CHUNK_ROWS, _setting, salted_rank
 from ..store import Scratch
+from .linear import probabilities
 from .metrics import _POISSON
 
 #: Parts that the trees are dealt to, for each core.
 DEALS = 4
+#: Rows of an only block and features that they have in all, at most: a task takes some 50 bytes for each.
+BLOCK_ROWS, BLOCK_ENTRIES = 1_000_000, 8_000_000
+#: Bytes of an only block that travel in one row.
+PIECE = 1 << 20
+#: Rows of the features drawn for the nodes of a tree that a task keeps for the other models' trees of that number.
+KEPT_ENTRIES = 4_000_000
+#: Scores that travel in one row.
+TOLD = 8192
 #: As MLlib's: nodes below this impurity are not split.
 PURE = 2.220446049250313e-16
 
@@ -51,12 +61,18 @@ class Block:
     """Rows, and for each feature the rows that have it."""
 
     def __init__(self, blob: bytes):
-        self.key, self.y, self.train, self.test, counts, features = pickle.loads(blob)
-        self.row = np.repeat(np.arange(len(self.key)), counts)
-        self.features, self.at = np.unique(features, return_inverse=True)
-        order = np.argsort(self.at, kind="stable")
-        self.rows = self.row[order]
-        self.start = np.searchsorted(self.at[order], np.arange(len(self.features) + 1))
+        self.key, self.y, train, test, counts, features = pickle.loads(blob)
+        self.train, self.test = (marks if marks.dtype == bool else np.unpackbits(marks, axis=1, count=len(self.key)).view(bool) for marks in (train, test))
+        self.row = np.repeat(np.arange(len(self.key), dtype=np.int32), counts)
+        uses = np.bincount(features)
+        self.features = np.flatnonzero(uses)
+        self.at = (np.cumsum(uses > 0, dtype=np.int32) - 1)[features]
+        self.start = np.append(0, np.cumsum(uses[self.features]))
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """The rows of each feature, from its ``start`` on."""
+        return self.row[np.argsort(self.at, kind="stable")]
 
     def having(self, feature: int) -> np.ndarray:
         i = np.searchsorted(self.features, feature)
@@ -148,18 +164,23 @@ class Tree:
             else:
                 inner.add(slot)
                 kept.append((slot, feature, new))
-        return np.array(kept[::-1], np.int64).reshape(-1, 3), np.array([self.value(s) for s in leaf])
+        return np.array(kept[::-1], np.int32).reshape(-1, 3), np.array([self.value(s) for s in leaf])
 
 
 class Work:
-    """One block's part in growing one tree; ``before``: the finished trees that it is boosted on."""
+    """One block's part in growing one tree; ``before``: the finished trees that it is boosted on.
 
-    def __init__(self, block: Block, plan: Plan, tree: int, before=()):
-        self.block, self.plan, self.tree = block, plan, tree
+    ``kept`` is shared by the trees of one number in all models, which have the same bags and drawn features.
+    """
+
+    def __init__(self, block: Block, plan: Plan, tree: int, before=(), kept: dict | None = None):
+        self.block, self.plan, self.tree, self.kept = block, plan, tree, {} if kept is None else kept
         self.slots = np.zeros(len(block.key), np.int32)
         train = block.train[plan.turn]
         if plan.step is None:
-            times = train * (bag(block.key, plan.seed, tree) if plan.trees > 1 else 1.0)
+            if plan.trees > 1 and (at := ("bag", plan.seed, tree)) not in self.kept:
+                self.kept[at] = bag(block.key, plan.seed, tree)
+            times = train * (self.kept[at] if plan.trees > 1 else 1.0)
             self.columns = [times * (block.y == 0), times * (block.y == 1)]
         else:
             sign = 2.0 * (block.y == 1) - 1.0
@@ -185,16 +206,29 @@ class Work:
                 yield b.features[seen], one[seen]
             return
         for slot in active:
-            wanted = drawn(self.plan, self.tree, slot, level)
-            i = np.searchsorted(b.features, wanted)
-            i = i[(b.features[np.minimum(i, len(b.features) - 1)] == wanted) & (i < len(b.features))] if len(b.features) else i[:0]
-            length = b.start[i + 1] - b.start[i]
-            ends = np.cumsum(length)
-            rows = b.rows[np.arange(ends[-1] if len(i) else 0) + np.repeat(b.start[i] - ends + length, length)]
+            i, rows, cell = self.drawn(slot, level)
             use = self.slots[rows] == slot
-            rows, cell = rows[use], np.repeat(np.arange(len(i)), length)[use]
+            rows, cell = rows[use], cell[use]
             yield b.features[i], np.stack([np.bincount(cell, c[rows], len(i)) for c in self.columns], -1)
 
+    def drawn(self, slot: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of the features drawn for a node, the rows that have them, and for each of these the feature's number among them."""
+        b, p = self.block, self.plan
+        at = (p.seed, self.tree, p.size, p.trees > 1, slot, level)
+        if at in self.kept:
+            return self.kept[at]
+        wanted = drawn(p, self.tree, slot, level)
+        i = np.searchsorted(b.features, wanted)
+        i = i[(b.features[np.minimum(i, len(b.features) - 1)] == wanted) & (i < len(b.features))] if len(b.features) else i[:0]
+        length = b.start[i + 1] - b.start[i]
+        ends = np.cumsum(length)
+        rows = b.rows[np.arange(ends[-1] if len(i) else 0) + np.repeat(b.start[i] - ends + length, length)]
+        found = i, rows, np.repeat(np.arange(len(i)), length)
+        if self.kept.get("entries", 0) + len(rows) <= KEPT_ENTRIES:
+            self.kept["entries"] = self.kept.get("entries", 0) + len(rows)
+            self.kept[at] = found
+        return found
+
 
 def margin(block: Block, plan: Plan, trees) -> np.ndarray:
     """Each tree's value for each row: boosted trees by their steps, those of a forest by their mean; empty bags have no vote."""
@@ -209,9 +243,9 @@ def margin(block: Block, plan: Plan, trees) -> np.ndarray:
     return out / max(1, voters) if plan.step is None else out
 
 
-def grown(block: Block, plan: Plan, number: int, before=()) -> tuple[np.ndarray, np.ndarray]:
+def grown(block: Block, plan: Plan, number: int, before=(), kept: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A tree of the rows of one block."""
-    work = Work(block, plan, number, before)
+    work = Work(block, plan, number, before, kept)
     tree = Tree(plan, work.total())
     while tree.active:
         found = {slot: tree.best(slot, *counts) for slot, counts in zip(tree.active, work.counts(tree.active, tree.level))}
@@ -221,21 +255,34 @@ def grown(block: Block, plan: Plan, number: int, before=()) -> tuple[np.ndarray,
 
 def packed(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """((block, blob), blocks) of rows with key, y, indices, train, test; the last two are arrays with an entry a split."""
-    total = rows.count()
-    chunk = _setting(rows.sparkSession, "scarp.chunkRows", CHUNK_ROWS)
-    placed = salted_rank(rows, [], [F.col("key")], "__rn", ["key"], total).withColumn("block", ((F.col("__rn") - 1) / chunk).cast("int"))
-
-    def pack(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("key")
-        marks = [np.array(frame[c].tolist(), bool).T for c in ("train", "test")]
-        sets = frame["indices"].tolist()
-        blob = pickle.dumps((frame["key"].to_numpy(), frame["y"].fillna(-1).to_numpy().astype(np.int64), *marks, np.array([len(s) for s in sets], np.int64), np.concatenate([np.asarray(s, np.int64) for s in sets])))
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "blob": [blob]})
-
-    slim = placed.select("block", "key", "y", "indices", "train", "test")
-    return scratch.save(slim.groupBy("block").applyInPandas(pack, "block int, blob binary"), "blocks"), max(1, math.ceil(total / chunk))
+    seen = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("indices")), F.lit(0)).alias("entries")).first()
+    spark, alone = rows.sparkSession, seen["entries"] <= BLOCK_ENTRIES and seen["n"] <= _setting(rows.sparkSession, "scarp.chunkRows", BLOCK_ROWS)
+    chunk = max(1, seen["n"]) if alone else _setting(spark, "scarp.chunkRows", CHUNK_ROWS)
+    blocks = max(1, math.ceil(seen["n"] / chunk))
+    slim = rows.select("key", "y", "indices", "train", "test")
+    if blocks > 1:
+        placed = salted_rank(slim, [], [F.col("key")], "__rn", ["key"], seen["n"]).withColumn("block", ((F.col("__rn") - 1) / chunk).cast("int")).drop("__rn")
+    else:
+        placed = slim.withColumn("block", F.lit(0))
+
+    def pack(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = {c: pa.concat_arrays(table[c].chunks) for c in table.column_names}
+        key = column["key"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        marks = [np.packbits(column[c].flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(len(key), -1)[order].T, axis=1) for c in ("train", "test")]
+        y = pc.fill_null(column["y"], -1).to_numpy()[order].astype(np.int8)
+        counts = pc.list_value_length(column["indices"]).to_numpy().astype(np.int64)
+        begins, counts = (np.cumsum(counts) - counts)[order], counts[order]
+        ends = np.cumsum(counts)
+        features = column["indices"].flatten().to_numpy()[np.arange(ends[-1]) + np.repeat(begins - ends + counts, counts)]
+        blob = pickle.dumps((key[order], y, *marks, counts.astype(np.int32), features), 5)
+        pieces = [blob[i : i + PIECE] for i in range(0, len(blob), PIECE)] if blocks == 1 else [blob]
+        return pa.table({"block": pa.array([column["block"][0].as_py()] * len(pieces), pa.int32()), "piece": pa.array(range(len(pieces)), pa.int32()), "blob": pa.array(pieces, pa.binary())})
+
+    return scratch.save(placed.groupBy("block").applyInArrow(pack, "block int, piece int, blob binary"), "blocks"), blocks
 
 
 class Blocks:
@@ -244,20 +291,21 @@ class Blocks:
     def __init__(self, table: DataFrame, n: int):
         self.spark, self.n = table.sparkSession, n
         self.sc = self.spark.sparkContext
-        self.rdd = table.select("block", "blob").rdd
+        self.rdd = (table.coalesce(1) if n == 1 else table).select("block", "piece", "blob").rdd  # all pieces of an only block meet
         self.width = self.rdd.getNumPartitions()
 
     def each(self, jobs: list, do):
         """An RDD of what ``do(number of the block, block, job)`` yields; every block meets every job."""
         parts = max(1, min(len(jobs), DEALS * self.sc.defaultParallelism))
-        width, shared = self.width, _shared(self.sc, jobs)
+        width, shared, alone = self.width, _shared(self.sc, jobs), self.n == 1
 
         def run(index, found):
             mine = pickle.loads(shared.value)[index // width :: parts]
-            for row in found:
-                block = Block(bytes(row.blob))
+            for number, blob in _only(found) if alone else ((r.block, bytes(r.blob)) for r in found):
+                block = Block(blob)
+                del blob
                 for job in mine:
-                    yield from do(row.block, block, job)
+                    yield from do(number, block, job)
 
         return self.sc.union([self.rdd] * parts).mapPartitionsWithIndex(run)
 
@@ -319,14 +367,17 @@ class Blocks:
             def whole(_, block, job):
                 m, plan, number = job
                 if number is not None:
-                    yield m, number, grown(block, plan, number)
+                    kept: dict = {}
+                    for at, one in plan:
+                        if number < one.trees:
+                            yield at, number, grown(block, one, number, (), kept)
                     return
                 done: list = []
                 for k in range(plan.trees):
                     done.append(grown(block, plan, k, done))
                     yield m, k, done[-1]
 
-            jobs = [(m, p, None) for m, p in boosted.items()] + [(m, p, k) for m, p in forests.items() for k in range(p.trees)]
+            jobs = [(m, p, None) for m, p in boosted.items()] + [(None, list(forests.items()), k) for k in range(max([p.trees for p in forests.values()], default=0))]
             for m, k, tree in self.each(jobs, whole).collect():
                 out[m][k] = tree
         else:
@@ -344,11 +395,38 @@ class Blocks:
             plan, own = job
             at = np.flatnonzero(block.test[plan.turn])
             p = margin(block, plan, own)[at]
-            p = 1.0 / (1.0 + np.exp(-2.0 * p)) if plan.step is not None else p
-            for key, y, one in zip(block.key[at].tolist(), block.y[at].tolist(), p.tolist()):
-                yield plan.turn, plan.kind, key, y if y in (0, 1) else None, one
+            yield from told(block, plan, at, 1.0 / (1.0 + np.exp(-2.0 * p)) if plan.step is not None else p)
+
+        return self._told(self.each(list(zip(plans, trees)), score))
+
+    def linear(self, plans: list) -> DataFrame:
+        """As ``scored``, of linear models (``linear.Plan``) that one task each fits to the rows of the only block."""
+        assert self.n == 1, "a linear model is fitted to one block"
+
+        def score(_, block, plan):
+            at = np.flatnonzero(block.test[plan.turn])
+            yield from told(block, plan, at, probabilities(block, plan)[at])
+
+        return self._told(self.each(plans, score))
+
+    def _told(self, rows) -> DataFrame:
+        packed = self.spark.createDataFrame(rows, "repeat int, model string, key array<long>, y array<int>, p array<double>", verifySchema=False)
+        return packed.select("repeat", "model", F.inline(F.arrays_zip("key", "y", "p")))
+
+
+def told(block: Block, plan, at: np.ndarray, p: np.ndarray):
+    """The scores ``p`` of the rows ``at``, TOLD of them in a row."""
+    key, y = block.key[at], block.y[at]
+    for i in range(0, len(at), TOLD):
+        part = slice(i, i + TOLD)
+        yield plan.turn, plan.kind, key[part].tolist(), [v if v in (0, 1) else None for v in y[part].tolist()], p[part].tolist()
+
 
-        return self.spark.createDataFrame(self.each(list(zip(plans, trees)), score), "repeat int, model string, key long, y int, p double", verifySchema=False)
+def _only(found):
+    """(number, blob) of the only block, from its pieces."""
+    pieces = sorted((r.piece, bytes(r.blob)) for r in found)
+    if pieces:
+        yield 0, b"".join(p[1] for p in pieces)
 
 
 def _shared(sc, value):
